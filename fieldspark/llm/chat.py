@@ -57,19 +57,17 @@ class Model:
 
     def __init__(self, counts: dict[tuple[str, str, str], int]):
         self.states = [f"{r}/{p}" for r in ROLES for p in ("first", "later")]
-        total: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        self._total: dict[tuple[str, str], Counter] = defaultdict(Counter)
         for (kind, state, value), n in counts.items():
-            total[kind, state][value] += n
-
-        def log(kind: str, state: str, value: str, choices: int) -> float:
-            own = total[kind, state]
-            return math.log((own[value] + 0.5) / (own.total() + 0.5 * choices))
-
+            self._total[kind, state][value] += n
         n = len(self.states)
-        self.start = [log("start", "", s, n) for s in self.states]
-        self.step = [[log("next", a, b, n) for b in self.states] for a in self.states]
+        self.start = [self._log("start", "", s, n) for s in self.states]
+        self.step = [[self._log("next", a, b, n) for b in self.states] for a in self.states]
         self._emit: dict[tuple[str, str], float] = {}
-        self._log = log
+
+    def _log(self, kind: str, state: str, value: str, choices: int) -> float:
+        own = self._total[kind, state]
+        return math.log((own[value] + 0.5) / (own.total() + 0.5 * choices))
 
     def emission(self, state: str, features: list[str]) -> float:
         out = 0.0
@@ -141,7 +139,7 @@ def transcripts(conversations: DataFrame) -> DataFrame:
 def _written(conv_id: int | None, block: int, roles: list[str], texts: list[str]) -> list[str]:
     """The transcript's turns: its style, and the turns without a marker, follow from its id."""
     draw = lambda *x: zlib.crc32(":".join(map(str, x)).encode())
-    return [write_transcript([turn], draw(conv_id), [draw(conv_id, block, k) % 4 == 0]) for k, turn in enumerate(zip(roles, texts, strict=True))]
+    return [write_transcript([turn], draw("style", conv_id), [draw(conv_id, block, k) % 4 == 0]) for k, turn in enumerate(zip(roles, texts, strict=True))]
 
 
 def counted(grouped: DataFrame) -> DataFrame:
