@@ -154,9 +154,9 @@ def tail_descent_rate(spark, sf_dir):
     return d.select("bin", "bin_left", clean(F.col("gradient"), 4).alias("gradient"))
 
 
-@query(_bag(f"""{_HIST}, c AS (SELECT bin, "count" AS n, sum("count") OVER (ORDER BY bin) AS c, sum("count") OVER () AS t FROM hist WHERE "count" > 0),
-h AS (SELECT share, min(bin) AS bin FROM c, (VALUES (0.25::double), (0.75::double)) x(share) WHERE c >= share * t GROUP BY share)
-SELECT share, {_r('-6 + (c.bin + (share * t - (c - n)) / n) * 5e-1')} AS quantile FROM h JOIN c USING (bin)"""))
+@query(_bag(f"""{_HIST}, k AS (SELECT bin, "count" AS n, sum("count") OVER (ORDER BY bin) AS c, sum("count") OVER () AS t FROM hist WHERE "count" > 0),
+h AS (SELECT share, min(bin) AS bin FROM k, (VALUES (0.25::double), (0.75::double)) x(share) WHERE c >= share * t GROUP BY share)
+SELECT share, {_r('-6 + (k.bin + (share * t - (c - n)) / n) * 5e-1')} AS quantile FROM h JOIN k USING (bin)"""))
 def histogram_quartiles(spark, sf_dir):
     h = _histogram(spark, sf_dir)
     return binning.histogram_quantile(h, -6.0, 0.5, 0.25).unionByName(binning.histogram_quantile(h, -6.0, 0.5, 0.75))
@@ -171,8 +171,8 @@ def log_contribution_moments(spark, sf_dir):
     return binning.log_moments(views.bag_of_points(spark, sf_dir), "pi", 3.0)
 
 
-_DENSITY = f"""b AS (SELECT CASE WHEN work_full >= -25 AND work_full <= 25 THEN least(floor((work_full + 25) / 5), 9)::INTEGER END AS bx, CASE WHEN pi >= -6 AND pi <= 6 THEN least(floor((pi + 6) / 1.2e0), 9)::INTEGER END AS by FROM bag),
-c AS (SELECT bx, by, count(*) AS n FROM b WHERE bx IS NOT NULL AND by IS NOT NULL GROUP BY ALL), dens AS (SELECT bx, by, n AS "count", {_r('n / sum(n) OVER () / 6', 8)} AS density FROM c)"""
+_DENSITY = f"""b AS (SELECT CASE WHEN work_full >= -25 AND work_full <= 25 THEN least(floor((work_full + 25) / 5), 9)::INTEGER END AS bx, CASE WHEN pi >= -6 AND pi <= 6 THEN least(floor((pi + 6) / 1.2e0), 9)::INTEGER END AS "by" FROM bag),
+c AS (SELECT bx, "by", count(*) AS n FROM b WHERE bx IS NOT NULL AND "by" IS NOT NULL GROUP BY ALL), dens AS (SELECT bx, "by", n AS "count", {_r('n / sum(n) OVER () / 6', 8)} AS density FROM c)"""
 
 
 def _density(spark, sf_dir):
@@ -189,8 +189,8 @@ def density_top5(spark, sf_dir):
     return binning.top_density(_density(spark, sf_dir))
 
 
-@query(_bag("""b AS (SELECT least(floor((work_full + 25) / 1e1), 4)::INTEGER AS bx, least(floor((work_resolved + 6) / 2.4e0), 4)::INTEGER AS by, least(floor((pi + 6) / 2.4e0), 4)::INTEGER AS bz FROM bag
-  WHERE work_full BETWEEN -25 AND 25 AND work_resolved BETWEEN -6 AND 6 AND pi BETWEEN -6 AND 6) SELECT bx, by, bz, count(*) AS "count" FROM b GROUP BY ALL"""))
+@query(_bag("""b AS (SELECT least(floor((work_full + 25) / 1e1), 4)::INTEGER AS bx, least(floor((work_resolved + 6) / 2.4e0), 4)::INTEGER AS "by", least(floor((pi + 6) / 2.4e0), 4)::INTEGER AS bz FROM bag
+  WHERE work_full BETWEEN -25 AND 25 AND work_resolved BETWEEN -6 AND 6 AND pi BETWEEN -6 AND 6) SELECT bx, "by", bz, count(*) AS "count" FROM b GROUP BY ALL"""))
 def density_3d(spark, sf_dir):
     return binning.density_3d(views.bag_of_points(spark, sf_dir), ("work_full", "work_resolved", "pi"), [(-25.0, 25.0), (-6.0, 6.0), (-6.0, 6.0)], 5)
 
@@ -263,9 +263,9 @@ def _lattice(spark, sf_dir):
     return d, lattices.extent(d)
 
 
-@query(f"""{_LAT}, b AS (SELECT z // (nz // 5) AS bz, y // 2 AS by, x // 2 AS bx, v FROM lattice, size),
-m AS (SELECT bz*25 + by*5 + bx AS block_id, bx, by, bz, count(*) AS n, sum(v) AS s, avg(v) AS m, sqrt(greatest(avg(v*v) - avg(v)*avg(v), 0)) AS d, min(v) AS lo, max(v) AS hi FROM b GROUP BY ALL)
-SELECT block_id::INTEGER AS block_id, bx::INTEGER AS bx, by::INTEGER AS by, bz::INTEGER AS bz, n AS point_count, {_r('s', 3)} AS "sum", {_r('m', 4)} AS mean, {_r('d', 3)} AS std, lo AS "min", hi AS "max", row_number() OVER (ORDER BY m, block_id) AS rank FROM m""")
+@query(f"""{_LAT}, b AS (SELECT z // (nz // 5) AS bz, y // 2 AS "by", x // 2 AS bx, v FROM lattice, size),
+m AS (SELECT bz*25 + "by"*5 + bx AS block_id, bx, "by", bz, count(*) AS n, sum(v) AS s, avg(v) AS m, sqrt(greatest(avg(v*v) - avg(v)*avg(v), 0)) AS d, min(v) AS lo, max(v) AS hi FROM b GROUP BY ALL)
+SELECT block_id::INTEGER AS block_id, bx::INTEGER AS bx, "by"::INTEGER AS "by", bz::INTEGER AS bz, n AS point_count, {_r('s', 3)} AS "sum", {_r('m', 7)} AS mean, {_r('d', 3)} AS std, lo AS "min", hi AS "max", row_number() OVER (ORDER BY m, block_id) AS rank FROM m""")
 def block_moments(spark, sf_dir):
     d, n = _lattice(spark, sf_dir)
     return lattices.block_moments(d, n, 5)
@@ -297,11 +297,11 @@ def seam_statistics(spark, sf_dir):
     return lattices.seams(*_lattice(spark, sf_dir))
 
 
-@query(f"""{_LAT}, t AS (SELECT x, y, (z - k + nz) % nz AS z, w * v AS w FROM lattice, size, (VALUES (-2, 1e0/12), (-1, -8e0/12), (1, 8e0/12), (2, -1e0/12)) s(k, w))
+@query(f"""{_LAT}, t AS (SELECT x, y, (z - k + nz) % nz AS z, w * v AS w FROM lattice, size, (VALUES (-2, 1e0), (-1, -8e0), (1, 8e0), (2, -1e0)) s(k, w))
 SELECT x, y, z::INTEGER AS z, {_r('sum(w)', 3)} AS dz FROM t GROUP BY ALL""")
 def fd4_gradient(spark, sf_dir):
     d, n = _lattice(spark, sf_dir)
-    return lattices.fd4(d, "z", n["z"], 1.0).withColumn("dz", clean(F.col("dz"), 3))
+    return lattices.fd4(d, "z", n["z"], 1 / 12).withColumn("dz", clean(F.col("dz"), 3))
 
 
 @query(f"""{_LAT}, w AS (SELECT *, lag(v) OVER l AS b1, lag(v, 2) OVER l AS b2, lead(v) OVER l AS a1, lead(v, 2) OVER l AS a2 FROM lattice WINDOW l AS (PARTITION BY y, z ORDER BY x))
@@ -400,15 +400,15 @@ def _derived_sql() -> str:
              "v AS MATERIALIZED (SELECT frame // 3 AS frame, z, y, x, max(v) FILTER (frame % 3 = 0) AS ux, max(v) FILTER (frame % 3 = 1) AS uy, max(v) FILTER (frame % 3 = 2) AS uz FROM cells GROUP BY ALL HAVING count(*) = 3)",
              *[_axis(f"g{j}", "v", j, _DERIVE, {f"g{i}{j}": f"u{i}" for i in "xyz"}) for j in "xyz"],
              f"r AS MATERIALIZED (SELECT *, {', '.join('+'.join(f'u{j}*g{i}{j}' for j in 'xyz') + f' AS a{i}' for i in 'xyz')}, {', '.join(f'u{p[0]}*u{p[1]} AS p{p}' for p in upper)} FROM v JOIN gx {join} JOIN gy {join} JOIN gz {join})",
-             _gauss("f", "r", {**{f"b{i}": f"u{i}" for i in "xyz"}, **{f"ga{i}": f"a{i}" for i in "xyz"}, **{f"q{p}": f"p{p}" for p in upper}}).replace("s.b", "s.b"),
-             f"w AS MATERIALIZED (SELECT *, {', '.join(f'q{p} - b{p[0]}*b{p[1]} AS t{p}' for p in upper)} FROM f)",
-             *[_axis(f"h{j}", "w", j, _DERIVE, {f"h{i}{j}": f"b{i}" for i in "xyz"}) for j in "xyz"],
-             f"m AS MATERIALIZED (SELECT *, {', '.join('+'.join(f'b{i}*{t(i, j)}' for i in 'xyz') + f' AS f{j}' for j in 'xyz')} FROM w)",
+             _gauss("f", "r", {**{f"e{i}": f"u{i}" for i in "xyz"}, **{f"ga{i}": f"a{i}" for i in "xyz"}, **{f"q{p}": f"p{p}" for p in upper}}),
+             f"w AS MATERIALIZED (SELECT *, {', '.join(f'q{p} - e{p[0]}*e{p[1]} AS t{p}' for p in upper)} FROM f)",
+             *[_axis(f"h{j}", "w", j, _DERIVE, {f"h{i}{j}": f"e{i}" for i in "xyz"}) for j in "xyz"],
+             f"m AS MATERIALIZED (SELECT *, {', '.join('+'.join(f'e{i}*{t(i, j)}' for i in 'xyz') + f' AS f{j}' for j in 'xyz')} FROM w)",
              *[_axis(f"s{j}", "m", j, _DERIVE, {f"s{j}": f"f{j}"}) for j in "xyz"]]
-    wr = "+".join(f"b{i}*b{j}*h{i}{j}" for i, j in pairs)
+    wr = "+".join(f"e{i}*e{j}*h{i}{j}" for i, j in pairs)
     pi = "+".join(f"{t(i, j)}*h{i}{j}" for i, j in pairs)
     ss = "+".join(f"(g{i}{j}+g{j}{i})*(g{i}{j}+g{j}{i})/4" for i, j in pairs)
-    steps.append(f"""fields AS MATERIALIZED (SELECT w.frame, w.z*16 + w.y*4 + w.x AS p, bx*gax + by*gay + bz*gaz AS work_full, {wr} AS work_resolved, {pi} AS pi, sx.sx + sy.sy + sz.sz AS s_bar,
+    steps.append(f"""fields AS MATERIALIZED (SELECT w.frame, w.z*16 + w.y*4 + w.x AS p, ex*gax + ey*gay + ez*gaz AS work_full, {wr} AS work_resolved, {pi} AS pi, sx.sx + sy.sy + sz.sz AS s_bar,
       gxx + gyy + gzz AS divergence, {ss} AS strain FROM w JOIN r {join} JOIN hx {join} JOIN hy {join} JOIN hz {join} JOIN sx {join} JOIN sy {join} JOIN sz {join})""".replace("w.z*16 + w.y*4 + w.x", "z*16 + y*4 + x").replace("w.frame", "frame"))
     return "WITH " + ", ".join(steps)
 

@@ -43,7 +43,7 @@ def block_moments(points: DataFrame, sizes: dict[str, int], divisions: int) -> D
         F.count(F.lit(1)).alias("point_count"), F.sum(v).alias("s"), F.avg(v).alias("m"), F.min(v).alias("min"), F.max(v).alias("max"),
         F.sqrt(F.greatest(F.avg(v * v) - F.avg(v) * F.avg(v), F.lit(0.0))).alias("d"))
     rank = F.row_number().over(Window.orderBy("m", "block_id"))  # divisions ** 3 rows
-    return d.select("block_id", "bx", "by", "bz", "point_count", clean(F.col("s"), 3).alias("sum"), clean(F.col("m"), 4).alias("mean"), clean(F.col("d"), 3).alias("std"), "min", "max", rank.cast("bigint").alias("rank"))
+    return d.select("block_id", "bx", "by", "bz", "point_count", clean(F.col("s"), 3).alias("sum"), clean(F.col("m"), 7).alias("mean"), clean(F.col("d"), 3).alias("std"), "min", "max", rank.cast("bigint").alias("rank"))
 
 
 def pair_asymmetry(points: DataFrame, sizes: dict[str, int], divisions: int, centre: float) -> DataFrame:

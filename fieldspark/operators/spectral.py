@@ -45,16 +45,24 @@ def smooth_sharp_kernel(n: int, sigma: float, alpha: float) -> list[float]:
     return np.fft.ifftn(smooth_sharp_weights(n, sigma, alpha)).real.ravel().tolist()
 
 
+def _bound(cube: Column, use) -> Column:
+    """use(cube) with the cube worked out once, however often it is read."""
+    return F.element_at(F.transform(F.array(cube), use), 1)
+
+
 def apply_axis(cube: Column, n: int, axis: str, kernel: list[float]) -> Column:
     """A circulant kernel along one axis of a z-major cube."""
     stride = {"x": 1, "y": n, "z": n * n}[axis]
     k = F.array(*[F.lit(float(x)) for x in kernel])
 
-    def cell(p):
-        i = F.floor(p / stride).cast("int") % n
-        return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda acc, j: acc + F.get(k, F.pmod(i - j, F.lit(n))) * F.get(cube, p + (j - i) * stride))
+    def whole(c):
+        def cell(p):
+            i = F.floor(p / stride).cast("int") % n
+            return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda acc, j: acc + F.get(k, F.pmod(i - j, F.lit(n))) * F.get(c, p + (j - i) * stride))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n**3 - 1)), cell)
+        return F.transform(F.sequence(F.lit(0), F.lit(n**3 - 1)), cell)
+
+    return _bound(cube, whole)
 
 
 def apply_gaussian(cube: Column, n: int, sigma: float) -> Column:
@@ -69,11 +77,14 @@ def apply_full(cube: Column, n: int, kernel: list[float]) -> Column:
     k = F.array(*[F.lit(float(x)) for x in kernel])
     part = lambda p, stride: F.floor(p / stride).cast("int") % n
 
-    def cell(p):
+    def whole(c):
+        return F.transform(F.sequence(F.lit(0), F.lit(n**3 - 1)), lambda p: cell(c, p))
+
+    def cell(c, p):
         at = lambda q: F.pmod(part(p, n * n) - part(q, n * n), F.lit(n)) * n * n + F.pmod(part(p, n) - part(q, n), F.lit(n)) * n + F.pmod(part(p, 1) - part(q, 1), F.lit(n))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(n**3 - 1)), F.lit(0.0), lambda acc, q: acc + F.get(k, at(q)) * F.get(cube, q))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(n**3 - 1)), F.lit(0.0), lambda acc, q: acc + F.get(k, at(q)) * F.get(c, q))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n**3 - 1)), cell)
+    return _bound(cube, whole)
 
 
 def line_operator(points: DataFrame, axis: str, size: int, kind: str, parameter: float, value: str = "v") -> DataFrame:
