@@ -29,7 +29,8 @@ def clean(column: Column, digits: int = 6) -> Column:
 
 def angle_degrees(dot: Column, norm: Column) -> Column:
     """acos of the clipped cosine in degrees, null where a vector vanishes."""
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(dot, norm)))))
+    cosine = ratio(dot, norm)
+    return F.when(cosine.isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))))
 
 
 def symlog(value: Column, threshold: float) -> Column:
