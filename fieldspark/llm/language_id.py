@@ -15,6 +15,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,32 +24,67 @@ from fieldspark.llm.common import crc_bucket, cut_lineage, documents
 MODEL = "piece_bpe_32k.model"
 #: Longest piece looked up, and words kept by a Python worker between batches.
 LONGEST, REMEMBERED = 16, 200_000
+#: Characters scored at a time, so that words of one length meet in one array.
+PART_CHARS = 3_000_000
+
+
+class Vocabulary(dict):
+    """Pieces and their numbers, with a trie of their characters for searches over whole arrays.
+
+    An arc's key is its node and its character; `keys` are sorted, `to` has the node an arc
+    leads to, `piece` the number of the piece that ends at a node, or -1.
+    """
+
+    def __init__(self, ids: dict[str, int]):
+        super().__init__(ids)
+        nodes = {"": 0}
+        for piece in ids:
+            for k in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:k], len(nodes))
+        arcs = sorted((nodes[begin[:-1]] << 21 | ord(begin[-1]), node) for begin, node in nodes.items() if begin)
+        self.keys, self.to = (np.array(column, np.int64) for column in zip(*arcs, strict=True))
+        self.piece = np.array([ids.get(begin, -1) for begin in nodes], np.int32)
 
 
 @cache
-def pieces(path: str | None) -> dict[str, int]:
+def pieces(path: str | None) -> Vocabulary:
     """Ordinary pieces of the vocabulary; then come an unknown character and "no piece"."""
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL))
     own = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return {p: i for i, p in enumerate(p for p in own if len(p) <= LONGEST)}
+    return Vocabulary({p: i for i, p in enumerate(p for p in own if len(p) <= LONGEST)})
 
 
 def lattice(words: list[str], vocab: dict[str, int]) -> np.ndarray:
-    """Words of one length n -> ids[word, end - 1, length - 1] of the piece that ends there."""
-    n, unknown, none = len(words[0]), len(vocab), len(vocab) + 1
-    find = vocab.get
-    out = np.full((len(words), n, min(n, LONGEST)), none, np.int32)
-    for grid, word in zip(out, words, strict=True):
-        for end in range(1, n + 1):
-            row = grid[end - 1]
-            row[0] = find(word[end - 1], unknown)
-            for size in range(2, min(end, LONGEST) + 1):
-                if (at := find(word[end - size:end])) is not None:
-                    row[size - 1] = at
-    return out
+    """Words of one length n -> ids[word, end - 1, length - 1] of the piece that ends there.
+
+    All starts walk the trie together, each while a piece begins so; lengths that no piece
+    has are left off.
+    """
+    trie = vocab if isinstance(vocab, Vocabulary) else Vocabulary(vocab)
+    many, n, unknown, none = len(words), len(words[0]), len(vocab), len(vocab) + 1
+    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    out = np.full((many * n, min(n, LONGEST)), none, np.int32)
+    out[:, 0] = unknown
+    place, longest = np.arange(many * n), 1
+    node, left = np.zeros(many * n, np.int64), n - place % n
+    for size in range(1, out.shape[1] + 1):
+        key = node << 21 | chars[place + size - 1]
+        arc = np.minimum(np.searchsorted(trie.keys, key), len(trie.keys) - 1)
+        hit = trie.keys[arc] == key
+        place, node, left = place[hit], trie.to[arc[hit]], left[hit]
+        found = trie.piece[node]
+        whole = found >= 0
+        if whole.any():
+            out[place[whole] + size - 1, size - 1] = found[whole]
+            longest = size
+        on = left > size
+        place, node, left = place[on], node[on], left[on]
+        if not len(place):
+            break
+    return out.reshape(many, n, -1)[:, :, :longest]
 
 
 def forward(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +115,7 @@ def word_scores(words: list[str], vocab: dict[str, int], probs: np.ndarray) -> n
     for i, w in enumerate(words):
         by_length[len(w) + 1].append(i)
     for n, at in by_length.items():
-        step = 1 if n > 512 else max(1, 60_000 // (n * min(n, LONGEST)))
+        step = 1 if n > 512 else max(1, 200_000 // (n * min(n, LONGEST)))
         for lo in range(0, len(at), step):
             part = at[lo:lo + step]
             if n > 512:
@@ -202,20 +238,20 @@ class Scorer:
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = [], []
-        for text in texts:
-            if not self.langs or text is None or not any(map(str.isalpha, text)):
+        judged = [text.split() if self.langs and text is not None and any(map(str.isalpha, text)) else None for text in texts]
+        if len(self.at) > REMEMBERED:
+            self.forget()
+        if new := list({w for words in judged if words for w in words if w not in self.at}):
+            first, need = len(self.at), len(self.at) + len(new)
+            if need > len(self.known):
+                self.known = np.concatenate([self.known, np.zeros((max(need, 2 * len(self.known)) - len(self.known), len(self.langs)))])
+            self.known[first:need] = word_scores(new, self.vocab, self.probs)
+            self.at.update(zip(new, range(first, need), strict=True))
+        for words in judged:
+            if words is None:
                 lang.append("und")
                 score.append(0.0)
                 continue
-            words = text.split()
-            if len(self.at) > REMEMBERED:
-                self.forget()
-            if new := list({w for w in words if w not in self.at}):
-                first, need = len(self.at), len(self.at) + len(new)
-                if need > len(self.known):
-                    self.known = np.concatenate([self.known, np.zeros((max(need, 2 * len(self.known)) - len(self.known), len(self.langs)))])
-                self.known[first:need] = word_scores(new, self.vocab, self.probs)
-                self.at.update(zip(new, range(first, need), strict=True))
             total = self.known[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
             share = np.exp(total - total.max())
             lang.append(self.langs[int(total.argmax())])
@@ -223,6 +259,18 @@ class Scorer:
         return lang, score
 
 
+def _parts(lengths: list[int | None]) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows): runs of rows with at most PART_CHARS characters, or one row."""
+    at = chars = 0
+    for row, length in enumerate(lengths):
+        if row > at and chars + (length or 0) > PART_CHARS:
+            yield at, row - at
+            at, chars = row, 0
+        chars += length or 0
+    if at < len(lengths):
+        yield at, len(lengths) - at
+
+
 def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, text_col: str = "text", path: str | None = None,
             lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """docs with a language and its posterior (equal priors) added.
@@ -235,8 +283,8 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, text_col: str
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(langs, table.value, path)
         for batch in it:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at, rows in _parts(pc.utf8_length(batch.column(batch.num_columns - 1)).to_pylist()):
+                part = batch.slice(at, rows)
                 lang, score = scorer(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names[:-1], lang_name, score_name])
 
