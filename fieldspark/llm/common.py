@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def with_row_keys(df: DataFrame, name: str) -> DataFrame:
+    """df with a column `name` of distinct longs, written to the shared checkpoint folder and read again.
+
+    A row's key is drawn once, so every later scan sees the same one.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldspark-checkpoint-"))
+    path = f"{context.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def first_row(id_col: str, key: str):
+    """What orders rows of a group: by id, null last, then by row key."""
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(key).alias("key"))
+
+
 def crc_bucket(id_col: str, parts: int):
     """crc32 of the id's decimal text, modulo parts; null ids fall into bucket 0."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % F.lit(parts), F.lit(0))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import SPACE_RUN, cut_lineage, sha256_hex
+from fieldspark.llm.common import SPACE_RUN, cut_lineage, first_row, sha256_hex, with_row_keys
 
 
 def chunk_pattern(least: int = 384, most: int = 4096) -> str:
@@ -79,9 +79,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; same rules as exact_duplicates."""
-    dropped = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__dropped_id"))
-    return docs.join(dropped, F.col(id_col) == F.col("__dropped_id"), "left_anti")
+    """One row of docs, with all its columns, for each group of equal texts as exact_duplicates groups them.
+
+    The row with the smallest id stays, a null id sorting last.  Rows are told apart by a
+    key of their own: of rows that share id and text one stays, and a row goes only if its
+    own text is a copy, whatever other rows its id has.
+    """
+    keyed = with_row_keys(docs, "__row")
+    ordered = keyed.select(first_row(id_col, "__row").alias("first"), F.col(text_col).alias("text"))
+    kept = exact_duplicates(ordered, "first", "text").where("kept").select(F.col("doc_id.key").alias("__row"))
+    return keyed.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from fieldspark.llm.common import cut_lineage, documents
+from fieldspark.llm.common import cut_lineage, documents, first_row, with_row_keys
 from fieldspark.llm.components import connected_components
 from fieldspark.llm.golay import codeword_indices
 
@@ -156,9 +156,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group."""
-    groups = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped_id"))
-    return docs.join(groups, F.col(id_col) == F.col("__dropped_id"), "left_anti")
+    """One row of docs, with all its columns, for each component of linked rows.
+
+    Rows are linked as near_duplicates links documents, but each stands for itself: a
+    repeated id joins no components, and rows with a null id are linked too.  The row with
+    the smallest id stays, a null id sorting last.
+    """
+    keyed = with_row_keys(docs, "__row")
+    linked = near_duplicates(keyed, "__row", text_col).select(F.col("doc_id").alias("__row"), "component_id")
+    kept = linked.join(keyed.select("__row", F.col(id_col).alias("id")), "__row").groupBy("component_id").agg(F.min(first_row("id", "__row")).alias("first"))
+    return keyed.join(kept.select(F.col("first.key").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def op1_simhash(spark, sf_dir):

@@ -130,6 +130,16 @@ def test_exact_dedup(spark, docs, empty, bits):
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("keep", [exact_dedup.keep_first, simhash.keep_one])
+def test_rows_are_kept_one_by_one(spark, keep):
+    a, b, c, d, e = ("alpha beta gamma", "one two three four", "delta epsilon zeta eta", "nothing like the rest", "some other words again")
+    repeated = [(1, a, "en"), (5, a, "de"), (5, b, "en"), (None, a, "en"), (None, c, "en"), (None, c, "en"), (7, d, "en"), (7, d, "en"), (9, e, "en"), (8, e, "en"), (8, b, "en")]
+    got = keep(table(spark, repeated).repartition(3))
+    assert got.columns == table(spark, []).columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, a), (5, b), (None, c), (7, d), (8, e)])
+    assert keep(table(spark, [])).count() == 0
+
+
 def test_chunks_cover_the_text(spark, docs):
     for r in exact_dedup.chunked(docs, "doc_id", "text", 8, 64).collect():
         assert hashlib.sha256("".join(r["chunks"]).encode()).hexdigest() == r["text_sha256"]
