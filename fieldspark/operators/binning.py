@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.scalar import clean, ratio
+from fieldspark.operators.stats import exact_percentiles
 
 
 def uniform_bin(value: Column, lo: float, hi: float, n: int) -> Column:
@@ -71,8 +72,9 @@ def histogram_quantile(hist: DataFrame, lo: float, width: float, share: float) -
 
 def conditional_tails(points: DataFrame, given: str, value: str, edges: list[float], regions: list[str], least: int = 100) -> DataFrame:
     """Counts, means and central ranges of value between irregular edges of given."""
-    b = edge_bin(F.col(given), edges)
-    by = points.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias("m"), F.percentile(value, F.array(*[F.lit(x) for x in (0.025, 0.25, 0.75, 0.975)])).alias("p")).where("bin is not null")
+    binned = points.withColumn("bin", edge_bin(F.col(given), edges)).where("bin is not null")
+    by = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("count"), F.avg(value).alias("m"))
+    by = by.join(F.broadcast(exact_percentiles(binned, "bin", value, [0.025, 0.25, 0.75, 0.975])), "bin", "left")  # a row per bin
     name = F.element_at(F.array(*[F.lit(r) for r in regions]), F.col("bin") + 1)
     total = F.sum("count").over(Window.partitionBy())
     return by.select("bin", name.alias("region"), "count", clean(F.col("count") / total).alias("volume_fraction"), clean(F.col("m")).alias("conditional_mean"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.scalar import angle_degrees, clean, ratio
 from fieldspark.operators.binning import uniform_bin
+from fieldspark.operators.stats import exact_percentiles
 
 
 def event(q: Column, q_rms: Column, alpha, mode: str = "positive") -> Column:
@@ -64,8 +65,10 @@ def with_angles(points: DataFrame) -> DataFrame:
 
 def angle_summary(points: DataFrame) -> DataFrame:
     a = F.col("theta_force")
-    d = with_angles(points).where(a.isNotNull()).groupBy("frame").agg(
-        F.count(F.lit(1)).alias("count"), F.avg(a).alias("m"), F.avg(F.cos(F.radians(a))).alias("c"), F.percentile(a, F.array(*[F.lit(x) for x in (0.05, 0.5, 0.95)])).alias("p"), F.corr(a, F.col("q")).alias("r"))
+    known = with_angles(points).where(a.isNotNull())
+    d = known.groupBy("frame").agg(F.count(F.lit(1)).alias("count"), F.avg(a).alias("m"), F.avg(F.cos(F.radians(a))).alias("c"), F.corr(a, F.col("q")).alias("r"))
+    p = exact_percentiles(known, "frame", "theta_force", [0.05, 0.5, 0.95]).withColumnRenamed("frame", "of")
+    d = d.join(F.broadcast(p), F.col("frame").eqNullSafe(F.col("of")), "left")  # a row per frame
     return d.select("frame", "count", clean(F.col("m")).alias("mean_angle"), clean(F.col("c")).alias("mean_cos"), *[clean(F.get("p", F.lit(k))).alias(n) for k, n in enumerate(("p05", "p50", "p95"))], clean(F.col("r")).alias("corr_q"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.functions.scalar import clean, ratio, safe_ratio
@@ -38,6 +38,45 @@ def exact_percentile(values: DataFrame, column: str, share: float, bins: int = 4
     return low + (ranked(min(int(at) + 1, whole["n"] - 1)) - low) * (at - int(at)) if at > int(at) else low
 
 
+def exact_percentiles(values: DataFrame, group: str, column: str, shares: list[float], bins: int = 4096) -> DataFrame:
+    """One row (group, p) per group with a value: its linear percentiles, in the order of shares.
+
+    As exact_percentile, for all groups and shares together: each round counts, by (group, class),
+    the values between the bounds of each rank still open.  The driver holds a few numbers for each
+    group and share.  A null group is a group; NaN sorts last.
+    """
+    v = values.select(F.col(group).alias("g"), F.col(column).cast("double").alias("v")).where("v is not null")
+    kind, spark = v.schema["g"].dataType.simpleString(), values.sparkSession
+    whole = v.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).withColumn("done", F.col("lo") == F.col("hi")).collect()
+    sizes = {r["g"]: r["n"] for r in whole}
+    ends = {(g, s): (int(s * (n - 1)), min(int(s * (n - 1)) + 1, n - 1)) for g, n in sizes.items() for s in shares}
+    state = [(r["g"], k, k, r["lo"], r["hi"], r["done"]) for r in whole for k in sorted({k for s in shares for k in ends[r["g"], s]})]
+    known: dict = {}
+    while state:
+        known.update({(g, rank): lo for g, rank, _, lo, _, done in state if done})
+        if not (still := [x[:5] for x in state if not x[5]]):
+            break
+        asked = spark.createDataFrame(still, f"g {kind}, rank bigint, rest bigint, lo double, hi double")
+        bounds = asked.select(F.col("g").alias("of"), "lo", "hi").distinct()
+        half = F.col("hi") / 2 - F.col("lo") / 2
+        at = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / half * bins), F.lit(bins - 1)) + 1
+        # The extremes are classes of their own, so each round narrows, infinite bounds included.
+        place = F.when(F.col("v") == F.col("lo"), 0).when(F.col("v") == F.col("hi"), bins + 1).when((half > 0) & (half < float("inf")), at).otherwise(1)
+        inside = v.join(F.broadcast(bounds), F.col("g").eqNullSafe(F.col("of")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        classes = inside.groupBy("of", F.col("lo").alias("under"), place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("first"), F.max("v").alias("last"))
+        upto = Window.partitionBy("of", "under").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)  # bins + 2 rows at most
+        classes = classes.withColumn("before", F.sum("n").over(upto) - F.col("n"))
+        hit = F.col("g").eqNullSafe(F.col("of")) & (F.col("lo") == F.col("under")) & (F.col("rest") >= F.col("before")) & (F.col("rest") < F.col("before") + F.col("n"))
+        state = [tuple(r) for r in classes.join(F.broadcast(asked), hit).select("g", "rank", F.col("rest") - F.col("before"), "first", "last", F.col("first") == F.col("last")).collect()]
+
+    def between(g, share: float) -> float:
+        low, high = (known[g, k] for k in ends[g, share])
+        part = share * (sizes[g] - 1) - ends[g, share][0]
+        return low + (high - low) * part if part and low != high else low
+
+    return spark.createDataFrame([(g, [between(g, s) for s in shares]) for g in sizes], f"`{group}` {kind}, p array<double>")
+
+
 def weak_asymmetry(points: DataFrame) -> DataFrame:
     """One row of pi's balance: counts, signed sums, rms, exact p99 and maximum of |pi|."""
     p = F.col("pi")

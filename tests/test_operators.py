@@ -26,6 +26,24 @@ def test_exact_percentile(spark):
     assert stats.exact_percentile(d.where("v > 99"), "v", 0.5) is None
 
 
+def test_exact_percentiles_by_group(spark):
+    draw, shares = np.random.default_rng(7), [0.95, 0.025, 0.5, 0.0, 1.0]
+    groups = {0: draw.normal(size=3001), 1: np.append(draw.normal(size=40), [0.5] * 900), None: np.array([2.0]), 3: np.exp(40 * draw.normal(size=500)), 4: np.array([-np.inf, 1.0, 2.0, 3.0, 4.0, 5.0, np.inf])}
+    d = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [(0, None), (9, None)], "g int, v double").repartition(3)
+    got = {r["g"]: r["p"] for r in stats.exact_percentiles(d, "g", "v", shares, 16).collect()}
+    assert got.keys() == groups.keys()
+    for g in (0, 1, None, 3):
+        assert got[g] == pytest.approx(np.percentile(groups[g], [100 * s for s in shares]).tolist(), rel=1e-12)
+    assert got[4][2:] == [3.0, -np.inf, np.inf]
+    assert stats.exact_percentiles(d.where("v is null"), "g", "v", shares).count() == 0
+
+
+def test_no_task_gathers_the_values_of_a_bin(spark):
+    d = spark.range(200).selectExpr("0 as frame", "cast(id as double) q", "1.0d u2", "cast(id + 1 as double) ux", "0.0d uy", "0.0d uz", "-1.0d gx", "cast(id as double) gy", "0.0d gz")
+    for got in (binning.conditional_tails(d, "u2", "q", [0.0, 2.0], ["all"]), events.angle_summary(d)):
+        assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_last_bin_is_closed(spark):
     d = spark.createDataFrame([(x,) for x in (-10.0, -1.0, 0.0, 1.0, 10.0, 11.0)], "x double")
     assert [r[0] for r in d.select(binning.edge_bin(F.col("x"), [-10, -1, 1, 10])).collect()] == [0, 1, 1, 2, 2, None]
