@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import crc_bucket
+from fieldspark.llm.common import crc_bucket, cut_lineage
 
 ROLES = ("system", "user", "assistant")
 #: Ways to mark a speaker, one list for each style of transcript.
@@ -169,9 +169,17 @@ def counted(grouped: DataFrame) -> DataFrame:
 
 
 def fit(grouped: DataFrame, most_marks: int = 2_000) -> Model:
-    """The model; of marker values the most_marks most frequent are kept, so the result is bounded."""
-    rows = counted(grouped).orderBy(F.desc("n"), "kind", "state", "value").limit(most_marks).collect()
-    return Model({(r["kind"], r["state"], r["value"]): r["n"] for r in rows})
+    """The model; of marker values the most_marks most frequent are kept, so the result is bounded.
+
+    The other markers count as one value in each state, so totals are exact; no other kind of count is cut.
+    """
+    rows = cut_lineage(counted(grouped))
+    marks = rows.where("kind = 'mark'")
+    most = marks.groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(most_marks).select("value", F.lit(True).alias("kept"))
+    named = marks.join(F.broadcast(most), "value", "left").withColumn("value", F.when(F.col("kept"), F.col("value")).otherwise("mark="))  # no line has an empty marker
+    named = named.groupBy("kind", "state", "value").agg(F.sum("n").alias("n"))
+    found = rows.where("kind <> 'mark'").unionByName(named).collect()
+    return Model({(r["kind"], r["state"], r["value"]): r["n"] for r in found})
 
 
 def parse_transcripts(rows: DataFrame, model: Model, text_col: str = "transcript") -> DataFrame:

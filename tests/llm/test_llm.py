@@ -357,6 +357,18 @@ def test_chat(spark, sf_dir):
     assert chat.format_chats(odd.where("turn > 99999")).count() == 0
 
 
+def test_many_markers_push_no_other_count_out(spark):
+    turns = [(1, k, ("user", "assistant")[k % 2], f"word{k // 3}: text\nnext{k}: more") for k in range(60)] + [(2, 0, "system", "rare start")]
+    grouped = chat.transcripts(spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string"))
+    every = {(r["kind"], r["state"], r["value"]): r["n"] for r in chat.counted(grouped).collect()}
+    want, got = chat.Model(every), chat.fit(grouped, most_marks=5)
+    assert got.start == want.start and got.step == want.step
+    assert {k: c.total() for k, c in got._total.items()} == {k: c.total() for k, c in want._total.items()}
+    assert all(c == want._total[k] for k, c in got._total.items() if k[0] != "mark")
+    assert len({v for (kind, _), c in got._total.items() if kind == "mark" for v in c if v != "mark="}) == 5
+    assert all(c[v] == want._total[k][v] for k, c in got._total.items() for v in c if v != "mark=")
+
+
 def test_viterbi_against_enumeration():
     draw = random.Random(9)
     states = [f"{r}/{p}" for r in chat.ROLES for p in ("first", "later")]
