@@ -1,4 +1,4 @@
-"""Threshold events, overlaps, nested regions, angles and near-zero populations: F1-F7, G15-G17, G23-G25, P7, P8."""
+"""Threshold events, overlaps, nested regions, angles and near-zero populations: F1-F5, F7, G15-G17, P7, P8; reduced forms of F6 and G23-G25."""
 
 from __future__ import annotations
 

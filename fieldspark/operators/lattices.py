@@ -1,11 +1,11 @@
-"""Dense lattices: slices, sampling, blocks, stencils, seams, faces, tiles: F8-F12, G8, G11, G34, S24, S27, X9, X10, X12, J3, J7-J10, W2."""
+"""Dense lattices: slices, sampling, blocks, stencils, seams, faces, tiles: F8, F10-F12, G8, G11, G34, S24, S27, X9, X10, X12, J3, J7-J10, W2."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldspark.functions.scalar import clean, normalized_difference
+from fieldspark.functions.scalar import clean, normalized_difference, ratio
 
 AXES = ("x", "y", "z")
 
@@ -53,6 +53,43 @@ def pair_asymmetry(points: DataFrame, sizes: dict[str, int], divisions: int, cen
     return d.select("block_id", clean(F.col("a"), 3).alias("above"), clean(F.col("b"), 3).alias("below"), clean(normalized_difference(F.col("a"), F.col("b"))).alias("asymmetry"))
 
 
+#: Regime codes of each pair, left and right: 1+ and 1- against 4+ and 4-, 2 against 3; code 0 is uncertain.
+REGIME_PAIRS = {"1_4": ((1, 2), (5, 6)), "2_3": ((3,), (4,))}
+
+
+def regime_pair_asymmetry(points: DataFrame, strain: DataFrame, sizes: dict[str, int], divisions: int) -> DataFrame:
+    """Asymmetries of pi between the regimes of each pair, by block, with the block's strain.
+
+    points have x, y, z, pi and regime (code 0 to 6), strain has one row (block_id, block_x, block_y,
+    block_z, sij_sij_mean) for each block; a missing, repeated or misplaced block, or a pi that is
+    not finite, is an error.  Asymmetries are null where nothing is to be compared.
+    """
+    d = blocks(points, sizes, divisions)
+    side = lambda a: {"x": F.lit(1), "y": F.lit(divisions), "z": F.lit(divisions * divisions)}[a]
+    right_place = F.lit(True)
+    for a in AXES:
+        right_place = right_place & (F.col(f"block_{a}") == F.floor(F.col("block_id") / side(a)) % divisions)
+    blocks_found = F.countDistinct(F.when(right_place & F.col("block_id").between(0, divisions ** 3 - 1), F.col("block_id")))
+    checked = strain.agg(F.count(F.lit(1)).alias("n"), blocks_found.alias("good")).first()
+    if checked["n"] != divisions ** 3 or checked["good"] != divisions ** 3:
+        raise ValueError("strain must have each block once, at its own coordinates")
+    finite = F.col("pi").isNotNull() & ~F.isnan("pi") & (F.abs("pi") != float("inf"))
+    pi = F.when(finite, F.col("pi")).otherwise(F.raise_error(F.lit("pi is not finite")).cast("double"))
+    named = {f"{pair}_{end}": F.col("regime").isin(*codes) for pair, ends in REGIME_PAIRS.items() for end, codes in zip(("left", "right"), ends, strict=True)}
+    sums = [x for k, c in named.items() for x in (
+        F.count_if(c).alias(f"{k}_count"), F.sum(F.when(c, F.greatest(pi, F.lit(0.0))).otherwise(0.0)).alias(f"{k}_backscatter"), F.sum(F.when(c, F.greatest(-pi, F.lit(0.0))).otherwise(0.0)).alias(f"{k}_forward"))]
+    # pi is checked in every row, uncertain ones too.
+    by = d.groupBy("block_id").agg(F.count(pi).alias("point_count"), *sums).join(strain, "block_id")
+    out = []
+    for pair in REGIME_PAIRS:
+        lb, lf, rb, rf = (F.col(f"{pair}_{end}_{way}") for end in ("left", "right") for way in ("backscatter", "forward"))
+        out += [F.col(f"{pair}_left_count").alias(f"pair_{pair}_left_count"), F.col(f"{pair}_right_count").alias(f"pair_{pair}_right_count"),
+                clean(normalized_difference(lb, rb)).alias(f"a_{pair}_backscatter"), clean(normalized_difference(lf, rf)).alias(f"a_{pair}_forward"),
+                clean(ratio((lb - lf) - (rb - rf), lb + lf + rb + rf)).alias(f"a_{pair}_total")]
+    covered = sum(F.col(f"{k}_count") for k in named)
+    return by.select("block_id", "block_x", "block_y", "block_z", "point_count", "sij_sij_mean", *out, covered.alias("classified_count"), (F.col("point_count") - covered).alias("uncertain_count"))
+
+
 def stencil(points: DataFrame, axis: str, size: int, weights: dict[int, float], out: str) -> DataFrame:
     """sum of weight(k) * v(position + k), periodic, in scatter form: each point gives its few terms, one shuffle."""
     terms = F.explode(F.array(*[F.struct(F.lit(-k).alias("k"), F.lit(w).alias("w")) for k, w in weights.items()]))
@@ -116,6 +153,15 @@ def tile_plan(points: DataFrame, sizes: dict[str, int], tile: int) -> DataFrame:
     return out.select(key.alias("tile_key"), "x0", "y0", "z0", *shape)
 
 
+def tiles_in_request(requests: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(request_key, tile_key) for each tile that lies wholly in a request; both as from tile_plan."""
+    r = F.broadcast(requests.select(F.col("tile_key").alias("request_key"), *[F.col(c).alias(f"r_{c}") for a in AXES for c in (f"{a}0", f"n{a}")]))
+    inside = F.lit(True)
+    for a in AXES:
+        inside = inside & (F.col(f"{a}0") >= F.col(f"r_{a}0")) & (F.col(f"{a}0") + F.col(f"n{a}") <= F.col(f"r_{a}0") + F.col(f"r_n{a}"))
+    return tiles.join(r, inside).select("request_key", "tile_key")
+
+
 def tile_status(points: DataFrame, sizes: dict[str, int], tile: int) -> DataFrame:
     """Plan against data: each tile verified if it holds exactly its points, else partial or missing."""
     at = lambda a: (F.floor(F.col(a) / tile) * tile).cast("int")

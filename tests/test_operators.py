@@ -123,6 +123,39 @@ def test_blocks_must_divide(spark):
         lattices.blocks(d, {"x": 10, "y": 10, "z": 7}, 5)
 
 
+def test_regime_pairs_by_block(spark):
+    draw, n = np.random.default_rng(3), 4
+    z, y, x = (c.ravel() for c in np.meshgrid(*[np.arange(n)] * 3, indexing="ij"))
+    pi, regime = draw.normal(size=n ** 3), draw.integers(0, 7, n ** 3)
+    d = spark.createDataFrame(list(zip(*(c.tolist() for c in (x, y, z, pi, regime)))), "x int, y int, z int, pi double, regime int")
+    rows = [(b, b % 2, b // 2 % 2, b // 4, float(b)) for b in range(8)]
+    strain = lambda r: spark.createDataFrame(r, "block_id int, block_x int, block_y int, block_z int, sij_sij_mean double")
+    sizes = {"x": n, "y": n, "z": n}
+    got = {r["block_id"]: r for r in lattices.regime_pair_asymmetry(d, strain(rows), sizes, 2).collect()}
+    assert len(got) == 8
+    for b in range(8):
+        own = (z // 2 * 4 + y // 2 * 2 + x // 2) == b
+        covered = 0
+        for pair, ends in {"1_4": ((1, 2), (5, 6)), "2_3": ((3,), (4,))}.items():
+            v = [pi[own & np.isin(regime, codes)] for codes in ends]
+            (lb, lf), (rb, rf) = ((e[e > 0].sum(), -e[e < 0].sum()) for e in v)
+            covered += sum(map(len, v))
+            for name, a, w in (("backscatter", lb - rb, lb + rb), ("forward", lf - rf, lf + rf), ("total", lb - lf - rb + rf, lb + lf + rb + rf)):
+                assert got[b][f"a_{pair}_{name}"] == (pytest.approx(a / w, abs=1e-6) if w else None)
+        assert (got[b]["classified_count"], got[b]["uncertain_count"], got[b]["sij_sij_mean"]) == (covered, 8 - covered, b)
+    for bad in (rows[1:], [*rows[1:], rows[1]], [(0, 1, 0, 0, 0.0), *rows[1:]]):
+        with pytest.raises(ValueError):
+            lattices.regime_pair_asymmetry(d, strain(bad), sizes, 2)
+
+
+def test_tiles_in_request(spark):
+    sizes = {"x": 10, "y": 4, "z": 6}
+    plans = [lattices.tile_plan(spark.range(1), sizes, k) for k in (4, 3)]
+    requests, tiles = ([r.asDict() for r in p.collect()] for p in plans)
+    want = {(r["tile_key"], t["tile_key"]) for r in requests for t in tiles if all(r[f"{a}0"] <= t[f"{a}0"] and t[f"{a}0"] + t[f"n{a}"] <= r[f"{a}0"] + r[f"n{a}"] for a in "xyz")}
+    assert want and {tuple(r) for r in lattices.tiles_in_request(*plans).collect()} == want
+
+
 def test_empty_tables(spark):
     bag = spark.createDataFrame([], "work_full double, work_resolved double, pi double, s_bar double, q double, u2 double, frame int")
     assert regimes.contributions(bag).count() == 30
