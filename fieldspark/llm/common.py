@@ -16,33 +16,53 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors and the driver share: spark.checkpoint.dir of the session.
 
-    The folder is the session's own (spark.checkpoint.dir); a temporary one is
-    set only where the session names none, as in tests.
+    A temporary folder stands in for it in local mode only, where one machine runs everything;
+    elsewhere a session without the setting is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldspark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet to the shared checkpoint folder and read again.
+
+    Unlike a checkpoint it keeps columns apart, so later scans read only what they need.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def with_row_keys(df: DataFrame, name: str) -> DataFrame:
     """df with a column `name` of distinct longs, written to the shared checkpoint folder and read again.
 
     A row's key is drawn once, so every later scan sees the same one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="fieldspark-checkpoint-"))
-    path = f"{context.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
-    df.withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def first_row(id_col: str, key: str):

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import cut_lineage, sha256_hex
+from fieldspark.llm.common import cut_lineage, sha256_hex, stored
 
 # The base patterns of the contract and the least length of each.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -154,15 +154,17 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
            sample_rows: int = 20_000, log_odds: float = 9.2) -> DataFrame:
     """docs with every span of secret_spans replaced by mask (overlapping spans by one).
 
-    All columns stay and no row moves: spans are found again in the row once the chains
-    are fitted.  A null text stays null.
+    All columns stay and no row moves.  Spans are found once: rows and spans are written to
+    the shared folder, the chains are fitted on that, and the masks are set while it is read.
+    A null text stays null; rows with equal or null ids are treated one by one; an empty table
+    gives no rows.
     """
-    found = cut_lineage(found_spans(docs, id_col, text_col))
-    table = fit(docs, found, id_col, text_col, sample_rows)
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
-    rows = docs.select(whole, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = _judged(rows.select("row", "text", *[c.alias(k) for k, c in found_columns(F.col("text")).items()]), table, log_odds)
-    spans = spans.withColumn("spans", F.array_sort(F.concat("base", "added")))
+    rows = docs.select(whole, F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = stored(rows.select("row", "doc_id", *[c.alias(k) for k, c in found_columns(F.col("text")).items()]), "spans")
+    plain = found.select("doc_id", F.col("row")[text_col].alias("text"))
+    table = fit(plain, found, "doc_id", "text", sample_rows)
+    spans = _judged(found, table, log_odds).select("row", F.coalesce(F.col("row")[text_col], F.lit("")).alias("text"), F.array_sort(F.concat("base", "added")).alias("spans"))
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
