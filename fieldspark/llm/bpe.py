@@ -35,9 +35,11 @@ VOCABULARY = "byte_bpe_50k.json"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Entries of a worker's tables before they are cleared.
-CHUNKS, WORDS, ARCS = 400_000, 100_000, 500_000
+CHUNKS, WORDS, ARCS = 150_000, 50_000, 500_000
+#: Longest part, in characters, that a table keeps; longer ones are encoded each time.
+LONGEST = 64
 #: Characters of texts that are split together.
-SLICE = 1 << 24
+SLICE = 1 << 22
 
 
 def byte_letters() -> dict[str, int]:
@@ -165,15 +167,21 @@ class _Table(dict):
         value = self.older.get(key)
         if value is None:
             value = self.fill(key)
-        self[key] = value
+        if len(key) <= LONGEST:
+            self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class Codec:
     """Encodes and decodes whole texts with a byte-level BPE vocabulary file.
 
-    With ready=True, pre-split parts go to a ready-made encoder of the same ranks instead
-    of the automaton.
+    With ready=True, pre-split parts go to a ready-made encoder of the same ranks and no
+    automaton is built.  Tables hold short parts only, so their size is bounded; forget()
+    empties them.
     """
 
     def __init__(self, path: str, ready: bool = False):
@@ -185,7 +193,7 @@ class Codec:
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         labels = {i: to_bytes(t) for t, i in vocab.items()}
-        self.automaton = Automaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
+        self.automaton = None if ready else Automaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         self.labels = [b""] * (max([*labels, *self.special.values()]) + 1)
         for i, b in [*labels.items(), *((i, t.encode()) for t, i in self.special.items())]:
             self.labels[i] = b
@@ -203,6 +211,14 @@ class Codec:
             own = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
             self._chunks.fill = lambda chunk: array("I", own.encode_ordinary(chunk)).tobytes()
 
+    def forget(self) -> None:
+        """Empties the tables, so that a worker between tasks holds the vocabulary alone."""
+        self._words.forget()
+        self._chunks.forget()
+        if self.automaton:
+            self.automaton.arcs.clear()
+        pa.default_memory_pool().release_unused()
+
     def _chunk(self, chunk: str) -> bytes:
         words = self._words
         return array("I", [i for w in self._split.findall(chunk) for i in words[w]]).tobytes()
@@ -227,22 +243,21 @@ class Codec:
         chunks = self._chunks
         return chunks[parts[0]] + b"".join([chunks[" " + p] for p in parts[1:]])
 
-    def packed_all(self, texts: pa.Array) -> list[np.ndarray]:
-        """packed() of many texts as arrays; null counts as empty.
+    def packed_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """packed() of many texts as arrays, in turn; null counts as empty.
 
         Plain texts are split together and each different part is looked up once, in
         pieces of about SLICE characters.
         """
-        out: list[np.ndarray] = []
         held: list[str] = []
         size = 0
         for text in texts:
             held.append(text.as_py() or "")
             size += len(held[-1])
             if size > SLICE:
-                out += self._together(held)
+                yield from self._together(held)
                 held, size = [], 0
-        return out + self._together(held)
+        yield from self._together(held)
 
     def _together(self, texts: list[str]) -> list[np.ndarray]:
         plain = [t if self._plain(t) else "" for t in texts]
@@ -302,6 +317,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ids_sha.append(digest(",".join(map(own.numbers.__getitem__, ids))))
                 text_sha.append(digest(own.decode(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

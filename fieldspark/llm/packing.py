@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.llm.bpe import codec
-from fieldspark.llm.common import cut_lineage, documents
+from fieldspark.llm.common import cut_lineage, documents, shuffle_partitions
 
 CAPACITY = 2048
 END = 0
-#: Pieces that one salted bucket ranks, about.
-BUCKET_ROWS = 50_000
+#: Pieces that one salted bucket of a length ranks, about, until there is a bucket for each shuffle partition.
+BUCKET_ROWS = 200
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -53,6 +53,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
+        own.forget()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -220,7 +221,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     plan = slots(counts, capacity)
     spark = docs.sparkSession
     table = spark.createDataFrame(plan or [(0, 0, 0, 0, 1, 0)], "size bigint, lo bigint, hi bigint, first bigint, each bigint, at bigint")
-    buckets = max(1, sum(counts.values()) // BUCKET_ROWS)
+    buckets = max(1, min(shuffle_partitions(spark), sum(counts.values()) // BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     each = rows.groupBy("length", "bucket").count()
     before = each.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("before"))
