@@ -23,9 +23,11 @@ from fieldspark.llm.common import crc_bucket, cut_lineage, documents
 
 MODEL = "piece_bpe_32k.model"
 #: Longest piece looked up, and words kept by a Python worker between batches.
-LONGEST, REMEMBERED = 16, 200_000
+LONGEST, REMEMBERED = 16, 100_000
+#: Words up to so many characters are counted together; longer ones one by one, in logarithms.
+PLAIN_CHARS = 48
 #: Characters scored at a time, so that words of one length meet in one array.
-PART_CHARS = 3_000_000
+PART_CHARS = 1_000_000
 
 
 class Vocabulary(dict):
@@ -149,8 +151,10 @@ def expected_counts(rows: list[tuple[int, str, float]], vocab: dict[str, int], p
     total = np.zeros((probs.shape[1], size))
     by_length = defaultdict(list)
     for row in rows:
-        if len(row[1]) <= 48:
+        if len(row[1]) <= PLAIN_CHARS:
             by_length[len(row[1]) + 1].append(row)
+        else:
+            _count_long("▁" + row[1], row[0], row[2], vocab, probs, total)
     for n, group in by_length.items():
         step = max(1, 400_000 // (n * min(n, LONGEST)))
         for lo in range(0, len(group), step):
@@ -158,7 +162,7 @@ def expected_counts(rows: list[tuple[int, str, float]], vocab: dict[str, int], p
             ids = lattice(["▁" + w for _, w, _ in part], vocab)
             lang, count = np.array([r[0] for r in part]), np.array([r[2] for r in part], float)
             weights = probs[ids, lang[:, None, None]]
-            # No rescaling: 48 characters stay far above the smallest double.
+            # No rescaling: PLAIN_CHARS characters stay far above the smallest double.
             alpha, beta = np.zeros((len(part), n + 1)), np.zeros((len(part), n + 1))
             alpha[:, 0], beta[:, n] = 1, 1
             most = weights.shape[2]
@@ -175,6 +179,32 @@ def expected_counts(rows: list[tuple[int, str, float]], vocab: dict[str, int], p
     return total
 
 
+def _count_long(word: str, lang: int, count: float, vocab: dict[str, int], probs: np.ndarray, total: np.ndarray) -> None:
+    """Adds the expected uses of one long word, in logarithms, with one number for each position in memory."""
+    with np.errstate(divide="ignore"):
+        logs = np.log(probs[:, lang])
+    find, unknown, n = vocab.get, len(vocab), len(word)
+
+    def arcs(end: int) -> tuple[list[int], np.ndarray]:
+        """Pieces that end there: lengths and numbers."""
+        found = [(1, find(word[end - 1], unknown))] + [(k, p) for k in range(2, min(end, LONGEST) + 1) if (p := find(word[end - k:end])) is not None]
+        return [k for k, _ in found], np.array([p for _, p in found])
+
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0
+    for end in range(1, n + 1):
+        sizes, ids = arcs(end)
+        alpha[end] = np.logaddexp.reduce(alpha[[end - k for k in sizes]] + logs[ids])
+    if alpha[n] == -np.inf:
+        return
+    for end in range(n, 0, -1):
+        sizes, ids = arcs(end)
+        onward = logs[ids] + beta[end]
+        begin = [end - k for k in sizes]
+        np.add.at(total[lang], ids, count * np.exp(alpha[begin] + onward - alpha[n]))
+        beta[begin] = np.logaddexp(beta[begin], onward)
+
+
 def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, sample_rows: int, rounds: int,
         path: str | None) -> tuple[list[str], np.ndarray]:
     """Languages, and probabilities (pieces x languages), from rows whose language is known.
@@ -279,17 +309,19 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, text_col: str
     posteriors go to the language first in alphabetical order.
     """
     table = docs.sparkSession.sparkContext.broadcast(probs)
+    text_at = docs.columns.index(text_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(langs, table.value, path)
         for batch in it:
-            for at, rows in _parts(pc.utf8_length(batch.column(batch.num_columns - 1)).to_pylist()):
+            for at, rows in _parts(pc.utf8_length(batch.column(text_at)).to_pylist()):
                 part = batch.slice(at, rows)
-                lang, score = scorer(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names[:-1], lang_name, score_name])
+                lang, score = scorer(part.column(text_at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, lang_name, score_name])
+        pa.default_memory_pool().release_unused()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.withColumn("__scored_text", F.col(text_col)).mapInArrow(batches, f"{fields}, `{lang_name}` string, `{score_name}` double")
+    return docs.mapInArrow(batches, f"{fields}, `{lang_name}` string, `{score_name}` double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
