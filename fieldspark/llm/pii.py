@@ -4,12 +4,17 @@ Validated values (mail addresses, IPv4 addresses, dates, social security, phone
 numbers) become lists of symbols, each with its own radix.  A keyed, unbalanced Feistel
 network over two halves of the list adds SHA-256 output symbol by symbol, so the result is
 a permutation within the format: the same value has the same pseudonym in every document,
-different values have different ones, card numbers keep a right check digit and dates stay
-dates.  Values that fail validation stay as they are.
+different values of a form have different ones, card numbers keep a right check digit, dates
+stay dates of the same form and width.  Values that fail validation stay as they are.
+
+Who has the key can undo the pseudonyms, so it is given by the caller and not kept here.
 """
 
 from __future__ import annotations
 
+import secrets
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +22,13 @@ from fieldspark.llm.common import documents
 
 ROUNDS = 8
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
+#: Setting of the session with the key of op6_pii; Spark hides values of settings with this word in their name.
+KEY_SETTING = "spark.fieldspark.pseudonym.secret"
 
-# The forms that are looked for.
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+# The forms that are looked for.  A host name has at most 127 labels of at most 63 characters.
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 FORMS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -29,25 +36,37 @@ FORMS = {
     "card": r"(?<!\d)(?:(?:\d{4}[ -]){3}\d{4}|\d{13,19})(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMS.values())
-#: Alphabets of the characters in a mail address; other characters stay.
-ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789",
-             "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
-#: Dates are permuted within blocks of 270 x 270 days from this one.
-DAY_ZERO, DAY_SIDE = "1900-01-01", 270
+#: Runs of letters or digits of one kind, as (first code point, how many).  A character moves within its run.
+RUNS = ((0x61, 26), (0x41, 26), (0x30, 10), (0xDF, 24), (0xF8, 8), (0xC0, 23), (0xD8, 7), (0x100, 128), (0x391, 17), (0x3A3, 7), (0x3B1, 25),
+        (0x410, 32), (0x430, 32), (0x450, 16), (0x5D0, 27), (0x620, 27), (0x641, 10), (0x905, 53), (0xE01, 48), (0x3041, 86), (0x30A1, 90),
+        (0x4E00, 20992), (0xAC00, 11172))
+#: Days of the months of a common year.
+MONTH_DAYS = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often it is read."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def feistel(symbols: Column, radices: Column, tweak: Column, key: str) -> Column:
-    """A keyed permutation of lists of int symbols, symbol i being below radices[i]."""
+    """A keyed permutation of lists of int symbols, symbol i being below radices[i].
+
+    Each symbol is moved by 32 bits of its own: eight symbols share a digest.
+    """
     n = F.size(symbols)
     half = F.floor(n / 2).cast("int")
     part = lambda x, first, size: F.slice(x, first, size)
     start = F.struct(part(symbols, F.lit(1), half).alias("a"), part(radices, F.lit(1), half).alias("ra"),
                      part(symbols, half + 1, n - half).alias("b"), part(radices, half + 1, n - half).alias("rb"))
 
+    def shift(seed, i):
+        digest = F.when(i < 8, seed).otherwise(F.sha2(F.concat_ws("|", seed, F.floor(i / 8).cast("string")), 256))
+        return F.conv(F.substring(digest, F.pmod(i, F.lit(8)) * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
+
     def turn(acc, number):
-        digest = F.sha2(F.concat_ws("|", F.lit(key), tweak, number, F.array_join(F.transform(acc["b"], lambda x: x.cast("string")), ",")), 256)
-        shift = lambda i: F.conv(F.substring(digest, F.pmod(i, F.lit(21)) * 3 + 1, F.lit(3)), 16, 10).cast("int")
-        new = F.transform(acc["a"], lambda x, i: F.pmod(x + shift(i), F.get(acc["ra"], i)))
+        seed = F.sha2(F.concat_ws("|", F.lit(key), tweak, number, F.array_join(F.transform(acc["b"], lambda x: x.cast("string")), ",")), 256)
+        new = _bound(seed, lambda s: F.transform(acc["a"], lambda x, i: F.pmod(x + shift(s, i), F.get(acc["ra"], i)).cast("int")))
         return F.struct(acc["b"].alias("a"), acc["rb"].alias("ra"), new.alias("b"), acc["ra"].alias("rb"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda acc: F.concat(acc["a"], acc["b"]))
@@ -62,10 +81,8 @@ def _tens(symbols: Column) -> Column:
 
 
 def _refill(value: Column, digits: Column) -> Column:
-    """value with its digits replaced in order."""
-    chars = F.regexp_extract_all(value, F.lit("(?s)."), F.lit(0))
-    nth = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^0-9]", "")) - 1
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.get(digits, nth(i)).cast("string")).otherwise(c)), "")
+    """value with its digits replaced in order: what is between them, and one of them after each."""
+    return F.array_join(F.transform(F.split(value, "[0-9]", -1), lambda gap, i: F.concat(gap, F.coalesce(F.get(digits, i).cast("string"), F.lit("")))), "")
 
 
 def _luhn_sum(digits: Column, doubled: int) -> Column:
@@ -77,29 +94,31 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
 
 
 def _card(value: Column, key: str) -> Column:
-    digits = _digits(value)
-    n = F.size(digits)
-    body = feistel(F.slice(digits, F.lit(1), n - 1), _tens(F.slice(digits, F.lit(1), n - 1)), F.concat(F.lit("card"), n.cast("string")), key)
-
-    def whole(body):
-        check = F.pmod(10 - F.pmod(_luhn_sum(body, 0), F.lit(10)), F.lit(10))
-        return F.concat(body, F.array(check))
+    def made(digits):
+        n = F.size(digits)
+        body = F.slice(digits, F.lit(1), n - 1)
+        moved = feistel(body, _tens(body), F.concat(F.lit("card"), n.cast("string")), key)
+        fresh = _bound(moved, lambda x: F.concat(x, F.array(F.pmod(10 - F.pmod(_luhn_sum(x, 0), F.lit(10)), F.lit(10)))))
+        return F.when(F.pmod(_luhn_sum(digits, 1), F.lit(10)) == 0, _bound(fresh, lambda x: _refill(value, x)))
 
-    fresh = F.element_at(F.transform(F.array(body), whole), 1)
-    return F.when(F.pmod(_luhn_sum(digits, 1), F.lit(10)) == 0, _refill(value, fresh))
+    return _bound(_digits(value), made)
 
 
 def _phone(value: Column, key: str) -> Column:
-    digits = _digits(value)
-    n = F.size(digits)
-    own = F.least(n, F.lit(10))
-    last = F.slice(digits, n - own + 1, own)
-    large = F.get(last, F.lit(0)) >= 2
-    symbols = F.transform(last, lambda x, i: F.when((i == 0) & large, x - 2).otherwise(x))
-    radices = F.transform(last, lambda x, i: F.when(i == 0, F.when(large, 8).otherwise(2)).otherwise(10))
-    moved = feistel(symbols, radices, F.concat_ws("|", F.lit("phone"), n.cast("string"), large.cast("string")), key)
-    moved = F.transform(moved, lambda x, i: F.when((i == 0) & large, x + 2).otherwise(x))
-    return F.when(n.between(8, 15), _refill(value, F.concat(F.slice(digits, F.lit(1), n - own), moved)))
+    """The last ten digits move, the first of them among 0-1 or among 2-9."""
+
+    def made(digits):
+        n = F.size(digits)
+        own = F.least(n, F.lit(10))
+        last = F.slice(digits, n - own + 1, own)
+        large = F.get(last, F.lit(0)) >= 2
+        symbols = F.transform(last, lambda x, i: F.when((i == 0) & large, x - 2).otherwise(x))
+        radices = F.transform(last, lambda x, i: F.when(i == 0, F.when(large, 8).otherwise(2)).otherwise(10))
+        moved = feistel(symbols, radices, F.concat_ws("|", F.lit("phone"), n.cast("string"), large.cast("string")), key)
+        moved = F.transform(moved, lambda x, i: F.when((i == 0) & large, x + 2).otherwise(x))
+        return F.when(n.between(8, 15), _bound(F.concat(F.slice(digits, F.lit(1), n - own), moved), lambda x: _refill(value, x)))
+
+    return _bound(_digits(value), made)
 
 
 def _ssn(value: Column, key: str) -> Column:
@@ -121,59 +140,103 @@ def _ip(value: Column, key: str) -> Column:
     return F.array_join(F.transform(moved, lambda x: x.cast("string")), ".")
 
 
+def _month_days(month_width: int, day_width: int, late: bool) -> list[int]:
+    """100 * month + day of a common year's days that a form can write; late: only days after the twelfth."""
+    return [100 * m + d for m, n in enumerate(MONTH_DAYS, 1) for d in range(1, n + 1) if (month_width == 2 or m < 10) and (day_width == 2 or d < 10) and (not late or d > 12)]
+
+
 def _date(value: Column, key: str) -> Column:
-    """yyyy-mm-dd; mm/dd/yyyy, or dd/mm/yyyy where only that is a date; dd.mm.yyyy."""
-    out = F.lit(None).cast("string")
-    for sign, form in (("/", "dd/MM/yyyy"), ("/", "MM/dd/yyyy"), (".", "dd.MM.yyyy"), ("-", "yyyy-MM-dd")):
-        parse = form.replace("dd", "d").replace("MM", "M") if sign != "-" else form
-        day = F.datediff(F.to_date(F.try_to_timestamp(value, F.lit(parse))), F.lit(DAY_ZERO).cast("date"))
-        block = F.floor(day / (DAY_SIDE * DAY_SIDE)).cast("int")
-        rest = day - block * DAY_SIDE * DAY_SIDE
-        moved = feistel(F.array((rest / DAY_SIDE).cast("int"), F.pmod(rest, F.lit(DAY_SIDE))), F.array(F.lit(DAY_SIDE), F.lit(DAY_SIDE)), F.concat(F.lit("date"), block.cast("string")), key)
-        made = F.element_at(F.transform(F.array(moved), _day_text(block, form)), 1)
-        out = F.when(F.contains(value, F.lit(sign)) & day.isNotNull(), made).otherwise(out)
-    return out
+    """yyyy-mm-dd; dd.mm.yyyy; mm/dd/yyyy, or dd/mm/yyyy where the first number is over 12.
+
+    Year and day move within a form: the order of its parts, their widths and a block of 200 years.
+    29 February moves to another leap year of the block.
+    """
+
+    def made(p):
+        iso, dotted = F.contains(value, F.lit("-")), F.contains(value, F.lit("."))
+        late = ~iso & ~dotted & (F.get(p, F.lit(0)).cast("int") > 12)
+        day_first = dotted | late
+        at = lambda i, j, k: F.get(p, F.when(iso, i).when(day_first, j).otherwise(k))
+        return _bound(F.struct(at(0, 2, 2).cast("int").alias("y"), at(1, 1, 0).alias("m"), at(2, 0, 1).alias("d"), late.alias("late"), day_first.alias("day_first"), iso.alias("iso")), moved)
+
+    def moved(x):
+        month, day = x["m"].cast("int"), x["d"].cast("int")
+        widths = [(a, b) for a in (1, 2) for b in (1, 2)]
+        chosen = F.lit(None).cast("array<int>")
+        for a, b in widths:
+            lists = [F.lit(_month_days(a, b, late)) if not (late and b == 1) else F.lit(None).cast("array<int>") for late in (False, True)]
+            chosen = F.when((F.length(x["m"]) == a) & (F.length(x["d"]) == b), F.when(x["late"], lists[1]).otherwise(lists[0])).otherwise(chosen)
+        block = F.floor((x["y"] + 100) / 200).cast("int")
+        first, end = F.greatest(F.lit(1), block * 200 - 100), F.least(F.lit(9999), block * 200 + 99)
+        leap = lambda y: (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+        form = F.concat_ws("|", F.lit("date"), x["iso"].cast("string"), x["day_first"].cast("string"), x["late"].cast("string"), F.length(x["m"]), F.length(x["d"]), block)
+        leaps = F.filter(F.sequence(first, end), leap)
+        own_year = _bound(leaps, lambda years: F.get(years, F.get(feistel(F.array(F.array_position(years, x["y"]).cast("int") - 1), F.array(F.size(years)), F.concat(form, F.lit("|leap")), key), F.lit(0))))
 
+        def common(days):
+            place = F.array_position(days, month * 100 + day).cast("int") - 1
+            out = feistel(F.array(x["y"] - first, place), F.array(end - first + 1, F.size(days)), form, key)
+            return F.when(place >= 0, _bound(out, lambda o: written(o[0] + first, F.floor(F.get(days, o[1]) / 100), F.get(days, o[1]) % 100)))
 
-def _day_text(block: Column, form: str):
-    first = F.lit(DAY_ZERO).cast("date")
-    return lambda x: F.date_format(F.date_add(first, block * DAY_SIDE * DAY_SIDE + x[0] * DAY_SIDE + x[1]), form)
+        def written(year, month, day):
+            y, m, d = F.lpad(year.cast("string"), 4, "0"), F.lpad(month.cast("string"), F.length(x["m"]), F.lit("0")), F.lpad(day.cast("string"), F.length(x["d"]), F.lit("0"))
+            return F.when(x["iso"], F.concat_ws("-", y, m, d)).when(F.contains(value, F.lit(".")), F.concat_ws(".", d, m, y)).when(x["day_first"], F.concat_ws("/", d, m, y)).otherwise(F.concat_ws("/", m, d, y))
+
+        extra = leap(x["y"]) & (month == 2) & (day == 29)
+        return F.when(x["y"] < 1, F.lit(None)).when(extra, written(own_year, F.lit(2), F.lit(29))).otherwise(_bound(chosen, common))
+
+    return _bound(F.split(value, "[./-]"), made)
+
+
+def _character(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 4, "0")), "UTF-16BE")
 
 
 def _email(value: Column, key: str) -> Column:
-    local = F.substring_index(value, "@", 1)
-    chars = F.regexp_extract_all(local, F.lit("(?s)."), F.lit(0))
-    place = F.transform(chars, lambda c: F.coalesce(*[F.nullif(F.instr(F.lit(a), c) + 1000 * k, F.lit(1000 * k)) for k, a in enumerate(ALPHABETS)], F.lit(0)))
-    radix = F.transform(place, lambda p: F.when(p == 0, 1).otherwise(F.element_at(F.array(*[F.lit(len(a)) for a in ALPHABETS]), F.floor(p / 1000).cast("int") + 1)))
-    symbol = F.transform(place, lambda p: F.when(p == 0, 0).otherwise(F.pmod(p, F.lit(1000)) - 1))
-    moved = feistel(symbol, radix, F.concat(F.lit("email"), F.array_join(F.transform(radix, lambda r: r.cast("string")), ",")), key)
-    letters = F.array(*[F.lit(a) for a in ALPHABETS])
+    """The local part moves, each character within its run of RUNS; others, and the host, stay."""
+
+    def placed(c):
+        def of(code):
+            first, many = code, F.lit(1)
+            for begin, n in reversed(RUNS):
+                inside = (code >= begin) & (code < begin + n)
+                first, many = F.when(inside, begin).otherwise(first), F.when(inside, n).otherwise(many)
+            return _bound(first, lambda f: F.struct(c.alias("c"), f.alias("first"), many.alias("many"), (code - f).alias("symbol")))
+
+        return _bound(F.ascii(c), of)
 
-    def letter(x, i):
-        p = F.get(place, i)
-        return F.when(p == 0, F.get(chars, i)).otherwise(F.substring(F.element_at(letters, F.floor(p / 1000).cast("int") + 1), x + 1, F.lit(1)))
+    def made(p):
+        pattern = F.array_join(F.transform(p, lambda x: F.concat_ws(":", x["first"], x["many"])), ",")
+        moved = feistel(F.transform(p, lambda x: x["symbol"]), F.transform(p, lambda x: x["many"]), F.concat(F.lit("email"), pattern), key)
+        letters = F.zip_with(p, moved, lambda x, m: F.when(x["many"] == 1, x["c"]).otherwise(_character(x["first"] + m)))
+        return F.concat(F.array_join(letters, ""), F.lit("@"), F.substring_index(value, "@", -1))
 
-    return F.concat(F.array_join(F.transform(moved, letter), ""), F.lit("@"), F.substring_index(value, "@", -1))
+    chars = F.regexp_extract_all(F.substring_index(value, "@", 1), F.lit("(?s)."), F.lit(0))
+    return _bound(F.transform(chars, placed), made)
 
 
 _MAKE = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 def pseudonym(value: Column, key: str) -> Column:
-    """struct(kind, text) of one found value; null if it fails validation."""
+    """struct(kind, text) of one found value; its text is null if the value is not valid or stays the same."""
     out = F.lit(None).cast("struct<kind:string,text:string>")
     for kind in reversed(KINDS):
-        made = F.struct(F.lit(kind).alias("kind"), _MAKE[kind](value, key).alias("text"))
+        made = F.struct(F.lit(kind).alias("kind"), F.nullif(_MAKE[kind](value, key), value).alias("text"))
         out = F.when(value.rlike(rf"^(?:{FORMS[kind]})$"), made).otherwise(out)
     return out
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "fieldspark") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the whole text with its personal data replaced, and n_<kind> replacements.
 
+    A value counts only if it was valid and its text changed: an address without a character of
+    RUNS in its local part stays, as does the rare value that the permutation maps to itself.
     A null text stays null and has zero counts.  Rows stand alone, so repeated or null
-    ids, other columns and empty tables need no care.
+    ids, other columns and empty tables need no care.  An empty key is an error.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
     text = F.col("text")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = rows.withColumn("hits", F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
@@ -186,4 +249,6 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op6_pii(spark, sf_dir):
-    return pseudonymise(documents(spark, sf_dir))
+    """The key is the session's (KEY_SETTING); without one a fresh key links values within this result only."""
+    key = spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
+    return pseudonymise(documents(spark, sf_dir), key)
