@@ -23,11 +23,11 @@ from fieldspark.llm.common import crc_bucket, cut_lineage, documents
 
 MODEL = "piece_bpe_32k.model"
 #: Longest piece looked up, and words kept by a Python worker between batches.
-LONGEST, REMEMBERED = 16, 100_000
+LONGEST, REMEMBERED = 16, 200_000
 #: Words up to so many characters are counted together; longer ones one by one, in logarithms.
 PLAIN_CHARS = 48
 #: Characters scored at a time, so that words of one length meet in one array.
-PART_CHARS = 1_000_000
+PART_CHARS = 2_000_000
 
 
 class Vocabulary(dict):
@@ -256,33 +256,44 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, sample_rows:
 
 
 class Scorer:
-    """Scores texts in a Python worker; remembers the words it has met, within a bound."""
+    """Scores texts in a Python worker; remembers words it has met, the often met ones longest, within a bound."""
 
     def __init__(self, langs: list[str], probs: np.ndarray, path: str | None):
         self.langs, self.probs, self.vocab = langs, probs, pieces(path)
-        self.forget()
-
-    def forget(self) -> None:
         self.at: dict[str, int] = {}
-        self.known = np.zeros((1024, len(self.langs)))
+        self.known, self.met = np.zeros((1024, len(langs))), np.zeros(1024, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the half of the bound that was met most."""
+        words = list(self.at)
+        most = np.sort(np.argpartition(-self.met[:len(words)], REMEMBERED // 2)[:REMEMBERED // 2])
+        self.known, self.met = self.known[most], self.met[most] // 2
+        self.at = {words[k]: i for i, k in enumerate(most.tolist())}
+
+    def _learn(self, new: list[str]) -> None:
+        first, need = len(self.at), len(self.at) + len(new)
+        if (more := need - len(self.met)) > 0:
+            more = max(more, len(self.met))
+            self.known = np.concatenate([self.known, np.zeros((more, len(self.langs)))])
+            self.met = np.concatenate([self.met, np.zeros(more, np.int64)])
+        self.known[first:need], self.met[first:need] = word_scores(new, self.vocab, self.probs), 0
+        self.at.update(zip(new, range(first, need), strict=True))
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = [], []
         judged = [text.split() if self.langs and text is not None and any(map(str.isalpha, text)) else None for text in texts]
         if len(self.at) > REMEMBERED:
-            self.forget()
+            self._forget()
         if new := list({w for words in judged if words for w in words if w not in self.at}):
-            first, need = len(self.at), len(self.at) + len(new)
-            if need > len(self.known):
-                self.known = np.concatenate([self.known, np.zeros((max(need, 2 * len(self.known)) - len(self.known), len(self.langs)))])
-            self.known[first:need] = word_scores(new, self.vocab, self.probs)
-            self.at.update(zip(new, range(first, need), strict=True))
+            self._learn(new)
         for words in judged:
             if words is None:
                 lang.append("und")
                 score.append(0.0)
                 continue
-            total = self.known[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            places = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+            np.add.at(self.met, places, 1)
+            total = self.known[places].sum(axis=0)
             share = np.exp(total - total.max())
             lang.append(self.langs[int(total.argmax())])
             score.append(float(share.max() / share.sum()))
