@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,15 @@ def crc_bucket(id_col: str, parts: int):
 
 def sha256_hex(column):
     return F.sha2(column, 256)
+
+
+def runs_of_rows(lengths: list[int | None], most: int) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows): runs of rows with at most `most` characters together, or one row."""
+    at = chars = 0
+    for row, length in enumerate(lengths):
+        if row > at and chars + (length or 0) > most:
+            yield at, row - at
+            at, chars = row, 0
+        chars += length or 0
+    if at < len(lengths):
+        yield at, len(lengths) - at

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import crc_bucket, cut_lineage, documents
+from fieldspark.llm.common import crc_bucket, cut_lineage, documents, runs_of_rows
 
 MODEL = "piece_bpe_32k.model"
 #: Longest piece looked up, and words kept by a Python worker between batches.
@@ -300,18 +300,6 @@ class Scorer:
         return lang, score
 
 
-def _parts(lengths: list[int | None]) -> Iterator[tuple[int, int]]:
-    """(first row, number of rows): runs of rows with at most PART_CHARS characters, or one row."""
-    at = chars = 0
-    for row, length in enumerate(lengths):
-        if row > at and chars + (length or 0) > PART_CHARS:
-            yield at, row - at
-            at, chars = row, 0
-        chars += length or 0
-    if at < len(lengths):
-        yield at, len(lengths) - at
-
-
 def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, text_col: str = "text", path: str | None = None,
             lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
     """docs with a language and its posterior (equal priors) added.
@@ -325,7 +313,7 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, text_col: str
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(langs, table.value, path)
         for batch in it:
-            for at, rows in _parts(pc.utf8_length(batch.column(text_at)).to_pylist()):
+            for at, rows in runs_of_rows(pc.utf8_length(batch.column(text_at)).to_pylist(), PART_CHARS):
                 part = batch.slice(at, rows)
                 lang, score = scorer(part.column(text_at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names, lang_name, score_name])

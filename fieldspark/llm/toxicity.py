@@ -2,10 +2,10 @@
 
 Labels are given for documents only, so tokens are labelled first: in a toxic document, the
 words and word beginnings that toxic documents use far more often than clean ones.  The
-field (tags clean and toxic, weights per word and beginning, a transition table) is trained on the chains of a bounded sample;
-a chain is a sentence of at most CHAIN tokens.  Forward-backward marginals of all tokens of
-a document give the offending spans and, through a logistic curve fitted on the same
-sample, the score.
+field (tags clean and toxic, weights per word and beginning, a transition table) is trained
+on all sentences of a bounded sample of labelled rows; a chain is a whole sentence, however
+long.  Forward-backward marginals of all tokens of a document give the offending spans and,
+through a logistic curve fitted on the same sample, the score.
 """
 
 from __future__ import annotations
@@ -16,18 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldspark.llm.common import crc_bucket, documents
+from fieldspark.llm.common import crc_bucket, documents, runs_of_rows
 
 TOKEN = re.compile(r"\w+|[.!?\n]")
-CHAIN = 64
+#: Tokens of a chain that are worked through one by one; longer chains are joined exactly from such blocks.
+BLOCK = 64
 _BREAKS = frozenset(".!?\n")
 _LOG_ODDS = 30.0
 #: Lengths of the word beginnings that are features.
 STEMS = (5, 6, 7)
 _KEPT = 300_000
+#: Characters of texts that are scored together.
+_PART_CHARS = 1_000_000
 
 
 def word_features(word: str) -> list[str]:
@@ -42,10 +46,11 @@ class _Emissions(dict):
         self.weights, self.bias = weights, bias
 
     def __missing__(self, word: str) -> float:
+        """word: a token as it is written; features belong to its lower-cased form."""
         if len(self) > _KEPT:
             self.clear()
         get = self.weights.get
-        value = np.nan if word in _BREAKS else self.bias + sum(get(f, 0.0) for f in word_features(word))
+        value = np.nan if word in _BREAKS else self.bias + sum(get(f, 0.0) for f in word_features(word.lower()))
         self[word] = value
         return value
 
@@ -53,47 +58,111 @@ class _Emissions(dict):
         return _Emissions, (self.weights, self.bias)
 
 
-def chains(values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Groups of equally long chains, as (positions, values), of a flat array broken by NaN."""
-    breaks = np.isnan(values)
-    at = np.flatnonzero(~breaks)
-    if not len(at):
-        return
-    new = np.concatenate([[True], np.diff(at) > 1])
-    start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    new |= (np.arange(len(at)) - start) % CHAIN == 0
-    first = np.flatnonzero(new)
-    size = np.diff(np.concatenate([first, [len(at)]]))
-    for n in np.unique(size):
-        rows = at[first[size == n][:, None] + np.arange(n)]
-        yield rows, values[rows]
-
-
-def odds(emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Forward and backward log-odds (toxic over clean) of chains: each n x length.
-
-    Only ratios matter with two tags: the recursion on log-odds is
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -_LOG_ODDS, _LOG_ODDS)))
+
+
+class Chains:
+    """The chains of a flat array of tokens, cut into blocks that are grouped by length.
+
+    groups: numbers of blocks, and their positions (length x blocks, -1 behind a block's end); first,
+    last: whether a block begins or ends its chain.  Blocks of a chain have neighbouring numbers.
+    """
+
+    def __init__(self, breaks: np.ndarray):
+        at = np.flatnonzero(~breaks)
+        self.size = len(breaks)
+        self.groups: list[tuple[np.ndarray, np.ndarray]] = []
+        if not len(at):
+            return
+        new = np.concatenate([[True], np.diff(at) > 1])
+        start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        begin = np.flatnonzero(new | ((np.arange(len(at)) - start) % BLOCK == 0))
+        size = np.diff(np.concatenate([begin, [len(at)]]))
+        self.first = new[begin]
+        self.last = np.concatenate([self.first[1:], [True]])
+        # Blocks are grouped by lengths rounded up, so few groups run through few steps.
+        step = np.minimum(BLOCK, -(-size // 4) * 4)
+        for n in np.unique(step):
+            blocks = np.flatnonzero(step == n)
+            inside = np.arange(n)[:, None] < size[blocks]
+            place = at[np.minimum(begin[blocks] + np.arange(n)[:, None], len(at) - 1)]
+            self.groups.append((blocks, np.where(inside, place, -1)))
+
+    def odds(self, emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward and backward log-odds of every token (0 at breaks), over whole chains."""
+        fwd, bwd = np.zeros(self.size), np.zeros(self.size)
+        if not self.groups:
+            return fwd, bwd
+        before, after = self._edges(emission, trans)
+        for blocks, place in self.groups:
+            own = place >= 0
+            f, b = odds(np.where(own, emission[place], 0.0), trans, before[blocks], after[blocks], own)
+            fwd[place[own]], bwd[place[own]] = f[own], b[own]
+        return fwd, bwd
+
+    def _edges(self, emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every block: forward log-odds of the token before it (NaN: none), backward log-odds of its last token."""
+        many = len(self.first)
+        before, after = np.full(many, np.nan), np.zeros(many)
+        split = ~(self.first & self.last)
+        if not split.any():
+            return before, after
+        t = np.exp(np.clip(trans, -_LOG_ODDS, _LOG_ODDS))
+        whole = np.zeros((many, 2, 2))
+        for blocks, place in self.groups:
+            keep = split[blocks]
+            if not keep.any():
+                continue
+            place, own = place[:, keep], place[:, keep] >= 0
+            e = np.exp(np.clip(np.where(own, emission[place], 0.0), -_LOG_ODDS, _LOG_ODDS))
+            product = np.broadcast_to(np.eye(2), (place.shape[1], 2, 2)).copy()
+            # The first token of a chain is reached by no transition.
+            enter = np.where(self.first[blocks[keep]][:, None, None], np.eye(2), t)
+            for k in range(len(place)):
+                moved = (product @ (t if k else enter)) * np.stack([np.ones(place.shape[1]), e[k]], axis=1)[:, None, :]
+                product = np.where(own[k, :, None, None], moved / moved.max(axis=(1, 2), keepdims=True), product)
+            whole[blocks[keep]] = product
+        for block in np.flatnonzero(split & ~self.last):
+            entry = 1.0 if self.first[block] else np.exp(np.clip(before[block], -_LOG_ODDS, _LOG_ODDS))
+            out = np.array([1.0, entry]) @ whole[block]
+            before[block + 1] = np.log(max(out[1], 1e-300)) - np.log(max(out[0], 1e-300))
+        for block in np.flatnonzero(split & ~self.first)[::-1]:
+            out = whole[block] @ np.array([1.0, np.exp(np.clip(after[block], -_LOG_ODDS, _LOG_ODDS))])
+            after[block - 1] = np.log(max(out[1], 1e-300)) - np.log(max(out[0], 1e-300))
+        return before, after
+
+
+def odds(emission: np.ndarray, trans: np.ndarray, before: np.ndarray, after: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward log-odds (toxic over clean) of blocks: each length x n.
+
+    before: forward log-odds of the token ahead of each block (NaN: a chain begins); after:
+    backward log-odds of its last token; own: false in the padding behind it.  Only ratios
+    matter with two tags: the recursion on log-odds is
     r' = e + log((T01 + T11 exp r) / (T00 + T10 exp r)).
     """
     t = np.exp(np.clip(trans, -_LOG_ODDS, _LOG_ODDS))
-    fwd, bwd = np.empty_like(emission), np.zeros_like(emission)
-    fwd[:, 0] = emission[:, 0]
-    for k in range(1, emission.shape[1]):
-        x = np.exp(np.clip(fwd[:, k - 1], -_LOG_ODDS, _LOG_ODDS))
-        fwd[:, k] = emission[:, k] + np.log((t[0, 1] + t[1, 1] * x) / (t[0, 0] + t[1, 0] * x))
-    for k in range(emission.shape[1] - 2, -1, -1):
-        x = np.exp(np.clip(bwd[:, k + 1] + emission[:, k + 1], -_LOG_ODDS, _LOG_ODDS))
-        bwd[:, k] = np.log((t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x))
+
+    def onward(r):
+        x = np.exp(np.clip(r, -_LOG_ODDS, _LOG_ODDS))
+        return np.log((t[0, 1] + t[1, 1] * x) / (t[0, 0] + t[1, 0] * x))
+
+    fwd, bwd = np.empty_like(emission), np.empty_like(emission)
+    fwd[0] = emission[0] + np.where(np.isnan(before), 0.0, onward(np.nan_to_num(before)))
+    for k in range(1, len(emission)):
+        fwd[k] = emission[k] + onward(fwd[k - 1])
+    bwd[-1] = after
+    for k in range(len(emission) - 2, -1, -1):
+        x = np.exp(np.clip(bwd[k + 1] + emission[k + 1], -_LOG_ODDS, _LOG_ODDS))
+        bwd[k] = np.where(own[k + 1], np.log((t[1, 0] + t[1, 1] * x) / (t[0, 0] + t[0, 1] * x)), after)
     return fwd, bwd
 
 
 def marginals(values: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """P(toxic) of each token; 0 at breaks."""
-    out = np.zeros(len(values))
-    for rows, emission in chains(values):
-        fwd, bwd = odds(emission, trans)
-        out[rows] = 1 / (1 + np.exp(-np.clip(fwd + bwd, -_LOG_ODDS, _LOG_ODDS)))
-    return out
+    """P(toxic) of each token of a flat array of emission log-odds; NaN is a break and has 0."""
+    breaks = np.isnan(values)
+    fwd, bwd = Chains(breaks).odds(values, trans)
+    return np.where(breaks, 0.0, _sigmoid(fwd + bwd))
 
 
 def features(p: np.ndarray) -> np.ndarray:
@@ -107,91 +176,97 @@ class Field:
     def __init__(self, words: dict[str, float], other: float, trans: np.ndarray, curve: np.ndarray):
         self.table, self.trans, self.curve = _Emissions(words, other), trans, curve
 
-    def values(self, text: str) -> np.ndarray:
-        words = TOKEN.findall(text.lower())
+    def values(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.table.__getitem__, words), float, len(words))
 
     def score_all(self, texts: list[str]) -> tuple[list[float], list[list[tuple[int, int, float]]]]:
-        """Scores, and toxic spans as (start, end, marginal) in code points of the lower-cased text."""
-        values = [np.append(self.values(t), np.nan) for t in texts]
+        """Scores, and toxic spans as (start, end, largest marginal) in code points of the text.
+
+        Neighbouring toxic tokens of a sentence are one span.
+        """
+        values = [np.append(self.values(TOKEN.findall(t)), np.nan) for t in texts]
         p = marginals(np.concatenate(values), self.trans) if values else np.zeros(0)
         ends = np.cumsum([len(v) for v in values])
         scores, spans = [], []
         for text, end, v in zip(texts, ends, values, strict=True):
             own = p[end - len(v):end]
-            scores.append(float(1 / (1 + np.exp(-np.clip(features(own) @ self.curve, -_LOG_ODDS, _LOG_ODDS)))))
-            hit = np.flatnonzero(own > 0.5)
-            where = list(TOKEN.finditer(text.lower())) if len(hit) else []
-            spans.append([(where[k].start(), where[k].end(), float(own[k])) for k in hit])
+            scores.append(float(_sigmoid(features(own) @ self.curve)))
+            spans.append(_merged(text, own) if (own > 0.5).any() else [])
         return scores, spans
 
 
-def toxic_features(texts: list[str], toxic: list[int], weights: list[float]) -> set[str]:
+def _merged(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
+    where = [m.span() for m in TOKEN.finditer(text)]
+    out: list[tuple[int, int, float]] = []
+    last = -2
+    for k in np.flatnonzero(p > 0.5).tolist():
+        begin, end = where[k]
+        if k == last + 1:
+            out[-1] = (out[-1][0], end, max(out[-1][2], float(p[k])))
+        else:
+            out.append((begin, end, float(p[k])))
+        last = k
+    return out
+
+
+def toxic_features(words: list[list[str]], toxic: list[int], weights: list[float]) -> set[str]:
     """Features of at least three texts and 1 % of the toxic ones, nine in ten of their texts toxic."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     number = 0
-    for text, label, weight in zip(texts, toxic, weights, strict=True):
+    for own, label, weight in zip(words, toxic, weights, strict=True):
         number += label
-        for f in {f for w in set(TOKEN.findall(text.lower())) for f in word_features(w)}:
+        for f in {f for w in set(own) for f in word_features(w)}:
             seen[label][f] += 1 if label else weight
     least = max(3, 0.01 * number)
     return {f for f, n in seen[1].items() if n >= least and n >= 9 * seen[0][f] and f not in _BREAKS}
 
 
-def train(texts: list[str], toxic: list[int], weights: list[float], rounds: int = 40, most_chains: int = 12_000) -> Field:
+def train(texts: list[str], toxic: list[int], weights: list[float], rounds: int = 40) -> Field:
     """The field and the curve from labelled texts; weights: clean rows that a sampled one stands for.
 
-    most_chains bounds the chains of the gradient: all with a toxic token come first, the
-    rest in the order of a seeded shuffle.
+    All sentences of the texts take part.  Gradients are summed word by word first, then by feature.
     """
-    bad = toxic_features(texts, toxic, weights)
-    common = Counter(f for t in texts for f in {f for w in set(TOKEN.findall(t.lower())) for f in word_features(w)})
+    words = [[w.lower() for w in TOKEN.findall(t)] for t in texts]
+    bad = toxic_features(words, toxic, weights)
+    common = Counter(f for own in words for f in {f for w in set(own) for f in word_features(w)})
     known = sorted((set(f for f, n in common.items() if n >= 5) | bad) - _BREAKS)
     number = {f: i + 2 for i, f in enumerate(known)}  # 0: no feature, weight 0; 1: the bias
     vocabulary: dict[str, int] = {}
     coded, marked = [], []
-    flat_ids, flat_tags = [], []
-    for text, label in zip(texts, toxic, strict=True):
-        for w in TOKEN.findall(text.lower()):
+    ids, tags = [], []
+    for own, label in zip(words, toxic, strict=True):
+        for w in own:
             if (k := vocabulary.get(w)) is None:
                 k = vocabulary[w] = len(vocabulary)
-                own = word_features(w)
-                coded.append([1, *(number.get(f, 0) for f in own), *[0] * (len(STEMS) + 1 - len(own))])
-                marked.append(any(f in bad for f in own))
-            flat_ids.append(np.nan if w in _BREAKS else k)
-            flat_tags.append(1 if label and marked[k] else 0)
-        flat_ids.append(np.nan)
-        flat_tags.append(0)
-    codes = np.array(coded, np.int64).reshape(-1, len(STEMS) + 2)
-    tags = np.array(flat_tags)
-    draw = np.random.default_rng(0)
-    groups = [(rows, ids.astype(np.int64)) for rows, ids in chains(np.array(flat_ids))]
-    total = sum(len(r) for r, _ in groups)
-    picked = []
-    for rows, ids in groups:
-        keep = tags[rows].any(axis=1) | (draw.random(len(rows)) < min(1.0, most_chains / max(1, total)))
-        if keep.any():
-            picked.append((codes[ids[keep]], tags[rows[keep]]))
+                found = word_features(w)
+                coded.append([1, *(number.get(f, 0) for f in found), *[0] * (len(STEMS) + 1 - len(found))])
+                marked.append(any(f in bad for f in found))
+            ids.append(-1 if w in _BREAKS else k)
+            tags.append(label and marked[k])
+        ids.append(-1)
+        tags.append(0)
+    codes, flat, tag = np.array(coded, np.int64).reshape(-1, len(STEMS) + 2), np.array(ids, np.int64), np.array(tags, float)
+    breaks = flat < 0
+    chains, inside = Chains(breaks), np.flatnonzero(~breaks)
+    left = np.flatnonzero(~breaks[:-1] & ~breaks[1:])
+    both = (2 * tag[left] + tag[left + 1]).astype(int)
     weight, trans = np.zeros(len(known) + 2), np.zeros((2, 2))
     prior = np.zeros_like(weight)
     prior[1] = weight[1] = -3.0
     step_w, step_t = np.zeros_like(weight), np.zeros_like(trans)
     square_w, square_t = np.zeros_like(weight), np.zeros_like(trans)
+    emission = np.zeros(len(flat))
     for turn in range(1, rounds + 1):
-        grad_w, grad_t = 0.01 * (weight - prior), 0.01 * trans
-        for ids, tag in picked:
-            emission = weight[ids].sum(axis=-1)
-            fwd, bwd = odds(emission, trans)
-            p = 1 / (1 + np.exp(-np.clip(fwd + bwd, -_LOG_ODDS, _LOG_ODDS)))
-            grad_w += np.bincount(ids.ravel(), np.repeat((p - tag).ravel(), ids.shape[-1]), len(weight))
-            # Pair marginals from the forward odds on the left and what follows on the right.
-            a, b = fwd[:, :-1], emission[:, 1:] + bwd[:, 1:]
-            score = np.stack([np.zeros_like(a) + trans[0, 0], b + trans[0, 1], a + trans[1, 0], a + b + trans[1, 1]])
-            score = np.exp(score - score.max(axis=0))
-            score /= score.sum(axis=0)
-            both = 2 * tag[:, :-1] + tag[:, 1:]
-            for k in range(4):
-                grad_t[k // 2, k % 2] += (score[k] - (both == k)).sum()
+        emission[inside] = weight[codes].sum(axis=1)[flat[inside]]
+        fwd, bwd = chains.odds(emission, trans)
+        rest = _sigmoid(fwd[inside] + bwd[inside]) - tag[inside]
+        by_word = np.bincount(flat[inside], rest, len(codes))
+        grad_w = 0.01 * (weight - prior) + np.bincount(codes.ravel(), np.repeat(by_word, codes.shape[1]), len(weight))
+        # Pair marginals from the forward odds on the left and what follows on the right.
+        a, b = fwd[left], emission[left + 1] + bwd[left + 1]
+        score = np.stack([np.zeros_like(a) + trans[0, 0], b + trans[0, 1], a + trans[1, 0], a + b + trans[1, 1]])
+        score = np.exp(score - score.max(axis=0))
+        grad_t = 0.01 * trans + ((score / score.sum(axis=0)).sum(axis=1) - np.bincount(both, minlength=4)).reshape(2, 2)
         grad_w[0] = 0.0
         for value, grad, step, square in ((weight, grad_w, step_w, square_w), (trans, grad_t, step_t, square_t)):
             step *= 0.9
@@ -200,7 +275,10 @@ def train(texts: list[str], toxic: list[int], weights: list[float], rounds: int
             square += 0.01 * grad * grad
             value -= 0.5 * (step / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-6)
     field = Field({f: float(weight[i]) for f, i in number.items() if weight[i]}, float(weight[1]), trans, np.array([-3.0, 6.0, 0.0]))
-    rows = np.array([features(marginals(field.values(t), trans)) for t in texts]).reshape(-1, 3)
+    emission[inside] = weight[codes].sum(axis=1)[flat[inside]]
+    p = marginals(np.where(breaks, np.nan, emission), trans)
+    edges = np.cumsum([0, *(len(own) + 1 for own in words)])
+    rows = np.array([features(p[i:j]) for i, j in zip(edges, edges[1:])]).reshape(-1, 3)
     field.curve = _logistic(rows, np.array(toxic, float), np.where(np.array(toxic) == 1, 1.0, np.array(weights)))
     return field
 
@@ -243,7 +321,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Null counts as empty; an empty text has the score of one without a toxic token.  With no
     labels all scores are low.  Rows with repeated or null ids are scored one by one (a null
     id is not held out); other columns are ignored; an empty table gives no rows.  Offsets
-    count code points of the lower-cased text.
+    count code points of the text as it is.
     """
     texts, toxic, weights = labelled_sample(docs, labels, id_col, text_col, sample_rows)
     field = train(texts, toxic, weights) if 1 in toxic else Field({}, -5.0, np.zeros((2, 2)), np.array([-5.0, 0.0, 0.0]))
@@ -253,8 +331,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         own = shared.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         for batch in it:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for at, n in runs_of_rows(pc.utf8_length(batch.column(2)).to_pylist(), _PART_CHARS):
+                part = batch.slice(at, n)
                 found, spans = own.score_all([t or "" for t in part.column(2).to_pylist()])
                 marks = pa.array([[{"start": a, "end": b, "p": p} for a, b, p in s] for s in spans], kind)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32()), marks], ["doc_id", "held_out", "score", "predicted", "spans"])
