@@ -318,13 +318,59 @@ def test_feistel_is_a_permutation(spark):
     assert len({tuple(r["s"]) for r in got}) == 210 and all(0 <= r["s"][0] < 30 and 0 <= r["s"][1] < 7 for r in got)
 
 
-def test_marginals_against_enumeration():
-    emission, trans = np.array([[0.3, -1.0, 2.0, 0.5]]), np.array([[0.2, -0.4], [0.1, 0.9]])
+def enumerated(emission, trans):
     weight = {}
-    for tags in np.ndindex(2, 2, 2, 2):
-        weight[tags] = np.exp(sum(emission[0, k] * t for k, t in enumerate(tags)) + sum(trans[a, b] for a, b in zip(tags, tags[1:])))
-    want = [sum(w for t, w in weight.items() if t[k]) / sum(weight.values()) for k in range(4)]
-    assert np.allclose(toxicity.marginals(np.append(emission[0], np.nan), trans)[:4], want)
+    for tags in np.ndindex(*[2] * len(emission)):
+        weight[tags] = np.exp(sum(emission[k] * t for k, t in enumerate(tags)) + sum(trans[a, b] for a, b in zip(tags, tags[1:])))
+    return [sum(w for t, w in weight.items() if t[k]) / sum(weight.values()) for k in range(len(emission))]
+
+
+def one_by_one(emission, trans):
+    t, psi = np.exp(trans), np.stack([np.ones(len(emission)), np.exp(emission)], axis=1)
+    fwd, bwd = np.ones((len(emission), 2)), np.ones((len(emission), 2))
+    fwd[0] = psi[0]
+    for k in range(1, len(emission)):
+        fwd[k] = (fwd[k - 1] @ t) * psi[k]
+        fwd[k] /= fwd[k].sum()
+    for k in range(len(emission) - 2, -1, -1):
+        bwd[k] = t @ (psi[k + 1] * bwd[k + 1])
+        bwd[k] /= bwd[k].sum()
+    return (fwd * bwd)[:, 1] / (fwd * bwd).sum(axis=1)
+
+
+def test_marginals_against_enumeration():
+    trans = np.array([[0.2, -0.4], [0.1, 0.9]])
+    for emission in ([0.3, -1.0, 2.0, 0.5], [1.5], [-0.2, 0.1, 3.0, -4.0, 0.0, 1.0, -1.0]):
+        assert np.allclose(toxicity.marginals(np.append(emission, np.nan), trans)[:-1], enumerated(emission, trans))
+
+
+def test_long_chains_are_whole():
+    draw = np.random.default_rng(13)
+    values, trans = draw.normal(size=900) * 2, draw.normal(size=(2, 2))
+    values[[0, 3, 4, 68, 700]] = np.nan
+    got, inside = toxicity.marginals(values, trans), np.flatnonzero(~np.isnan(values))
+    for run in np.split(inside, np.flatnonzero(np.diff(inside) > 1) + 1):
+        assert np.allclose(got[run], one_by_one(values[run], trans))
+    assert (got[np.isnan(values)] == 0).all() and not len(toxicity.marginals(np.zeros(0), trans))
+
+
+def test_scores_and_spans_against_a_plain_pass():
+    field = toxicity.Field({"idiot": 6.0, "stupi*": 4.0}, -2.0, np.array([[0.3, -0.2], [-0.1, 0.4]]), np.array([-3.0, 5.0, 0.7]))
+    texts = ["", "İİ you idiot idiot. Nice day", "STUPID\nidiot!", "one two " * 200 + "stupidly " * 70 + "end", "x. y. z"]
+    scores, spans = field.score_all(texts)
+    for text, score, found in zip(texts, scores, spans):
+        p, where = [], []
+        for sentence in re.finditer(r"[^.!?\n]+", text):
+            words = list(re.finditer(r"\w+", sentence[0]))
+            if words:
+                e = np.array([-2.0 + 6.0 * (w[0].lower() == "idiot") + 4.0 * (w[0].lower().startswith("stupi") and len(w[0]) > 5) for w in words])
+                p += one_by_one(e, field.trans).tolist()
+                where += [(sentence.start() + w.start(), sentence.start() + w.end()) for w in words]
+        x = field.curve @ [1.0, max(p, default=0.0), np.log1p(sum(v > 0.5 for v in p))]
+        assert score == pytest.approx(1 / (1 + np.exp(-x)))
+        hit = {k for (a, b), v in zip(where, p) if v > 0.5 for k in range(a, b)}
+        assert hit <= {k for a, b, _ in found for k in range(a, b)}
+        assert all(a in hit and b - 1 in hit and not re.search(r"[.!?\n]", text[a:b]) for a, b, _ in found)
 
 
 def test_toxicity(spark, docs, empty):
@@ -338,19 +384,82 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+CHAT = "conv_id bigint, turn int, role string, text string, rendered int, part string"
+
+
+def chat_table(spark, rows):
+    return spark.createDataFrame([(*r, 1, "x") for r in rows], CHAT)
+
+
 def test_chat(spark, sf_dir):
-    got = chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet")).toPandas()
-    assert got.exact.mean() >= 0.85 and (got[got.held_out].roles_true == got[got.held_out].roles_found).mean() >= 0.8
-    odd = spark.createDataFrame([(None, 0, "user", "hi"), (1, None, None, None), (2, 0, "user", "a\n\nb"), (2, 0, "user", "a\n\nb"), (3, 2_500, "assistant", "")], "conv_id bigint, turn int, role string, text string")
-    assert chat.format_chats(odd).count() == 4
-    assert chat.format_chats(odd.where("turn > 99999")).count() == 0
+    turns = chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet")).cache()
+    got = chat.conversation_report(turns).toPandas()
+    written = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").count().toPandas().set_index("conv_id")["count"]
+    assert dict(zip(got.conv_id, got.n_turns)) == written.to_dict()
+    assert got.exact.mean() >= 0.85 and (got[got.held_out].roles_right == got[got.held_out].n_turns).mean() >= 0.8
+    assert all(r["rendered"] == f"<|{r['role']}|>\n{r['text']}\n<|end|>\n" for r in turns.where("role is not null").collect())
+    turns.unpersist()
+    odd = chat_table(spark, [(None, 0, "user", "hi"), (1, None, None, None), (2, 0, "user", "a\n\n\nb"), (2, 0, "user", "a\n\n\nb"), (3, 2_500, "assistant", ""), (4, 999, "tool", "x"), (4, 1000, "tool", "y")])
+    rows = chat.format_chats(odd)
+    report = {r["conv_id"]: r for r in chat.conversation_report(rows).collect()}
+    assert {k: r["n_turns"] for k, r in report.items()} == {None: 1, 1: 1, 2: 2, 3: 1, 4: 2}
+    assert chat.conversation_report(chat.format_chats(odd.where("turn > 99999"))).count() == 0
+
+
+def test_blank_lines_of_a_turn_stay():
+    model = chat.Model({("mark", "user/first", "mark=user"): 50, ("mark", "user/later", "mark=none"): 50, ("start", "", "user/first"): 9, ("next", "user/first", "user/later"): 50, ("next", "user/later", "user/later"): 50})
+    assert model.parse("User: a\n\n\n  b\nc  \n") == [("user", "a\n\n\n  b\nc")]
+    assert model.parse(" \n\n") == []
+
+
+def test_roles_are_learned(spark):
+    turns = [(c, k, ("user", "tool")[k % 2], f"question {c} number {k}" + "?" * (k % 2 == 0)) for c in range(60) for k in range(6)]
+    got = chat.format_chats(chat_table(spark, turns)).toPandas()
+    assert set(got.role.dropna()) == {"user", "tool"} and got.exact.mean() > 0.8
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_a_long_conversation_in_many_tasks_is_parsed_as_one(spark, partitions):
+    draw = random.Random(12)
+    say = lambda: "\n".join(" ".join(draw.choice(["so", "what", "is", "it", "code:", "well"]) for _ in range(draw.randint(1, 9))) + draw.choice([".", "?"]) for _ in range(draw.randint(1, 3)))
+    turns = [(7, k, ("user", "assistant")[k % 2], say()) for k in range(400)] + [(c, k, ("user", "assistant")[k % 2], say()) for c in range(20, 30) for k in range(4)] + [(None, k, "user", say()) for k in range(30)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        table = chat.sorted_turns(chat_table(spark, turns).repartition(3))
+        assert table.select("part").distinct().count() == partitions
+        model = chat.fit(table.where("not held_out"))
+        found = chat.format_chats(chat_table(spark, turns).repartition(3)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plain = chat.Model({}, model.roles)
+    whole = chat.fit(chat.sorted_turns(chat_table(spark, turns)).where("not held_out"))
+    assert whole.start == model.start and whole.step == model.step and plain.states == model.states
+    assert {k: dict(c) for k, c in whole._total.items()} == {k: dict(c) for k, c in model._total.items()}
+    for conv in {t[0] for t in turns}:
+        piece = chat.Piece(0, conv, False, 0)
+        piece.turns = [t[1:] for t in turns if t[0] == conv]
+        want = model.parse("\n\n".join(piece.written()))
+        own = sorted((r for r in found if r["conv_id"] == conv and r["role"] is not None), key=lambda r: r["position"])
+        joined = []
+        for r in own:
+            if r["goes_on"]:
+                joined[-1] = (joined[-1][0], f"{joined[-1][1]}\n\n{r['text']}")
+            else:
+                joined.append((r["role"], r["text"]))
+        assert joined == want
 
 
 def test_many_markers_push_no_other_count_out(spark):
     turns = [(1, k, ("user", "assistant")[k % 2], f"word{k // 3}: text\nnext{k}: more") for k in range(60)] + [(2, 0, "system", "rare start")]
-    grouped = chat.transcripts(spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string"))
-    every = {(r["kind"], r["state"], r["value"]): r["n"] for r in chat.counted(grouped).collect()}
-    want, got = chat.Model(every), chat.fit(grouped, most_marks=5)
+    table = chat.sorted_turns(chat_table(spark, turns))
+    got = chat.fit(table, most_marks=5)
+    every = {(r["kind"], r["state"], r["value"]): r["n"] for r in chat.counted(table, got.roles).collect() if r["kind"] != "edge"}
+    for state in ("user/first", "system/first"):
+        every["start", "", state] = 1
+    want = chat.Model(every, got.roles)
     assert got.start == want.start and got.step == want.step
     assert {k: c.total() for k, c in got._total.items()} == {k: c.total() for k, c in want._total.items()}
     assert all(c == want._total[k] for k, c in got._total.items() if k[0] != "mark")
