@@ -16,9 +16,18 @@ from pyspark.sql import functions as F
 from fieldspark.llm.common import SPACE_RUN, cut_lineage, first_row, sha256_hex, with_row_keys
 
 
+#: Pairs of neighbouring characters between which a text may be cut, by their kinds: words, digits and
+#: letters without spaces (code, base64, hexadecimal), and scripts that write none.
+EDGES = (r"[enrstao][.,;:]? (?=[aeiouAEIOU])", r"[0-4](?=[A-Ha-h])", r"[\u3041-\u3060\u4e00-\u5fff\uac00-\ub7ff](?=[\u3061-\u309f\u7000-\u8fff\uc000-\ucfff])")
+
+
 def chunk_pattern(least: int = 384, most: int = 4096) -> str:
-    """A chunk: at least `least` characters up to a content-defined edge, at most `most`."""
-    edge = r"(?:[enrstao][.,;:]? (?=[aeiouAEIOU])|\z)"
+    """A chunk: at least `least` characters up to a content-defined edge, at most `most`.
+
+    A run of `most` characters without an edge (one letter over and over) is cut there; the
+    comparison stays exact, only an insertion then shifts the cuts up to the next edge.
+    """
+    edge = rf"(?:{'|'.join(EDGES)}|\z)"
     return rf"(?s).{{{least},{most}}}?{edge}|.{{1,{most}}}"
 
 
@@ -37,14 +46,14 @@ def _hash(chunk, bits: int):
 
 
 def _told_apart(chunks: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
-    """Per document, the places whose chunk is not the first of its hash: [(pos, ordinal)]."""
-    rows = chunks.select("doc_id", F.posexplode("chunks").alias("pos", "chunk")).withColumn("hash", _hash(F.col("chunk"), bits))
+    """Per text (by its SHA-256), the places whose chunk is not the first of its hash: [(pos, ordinal)]."""
+    rows = chunks.select("text_sha256", F.posexplode("chunks").alias("pos", "chunk")).withColumn("hash", _hash(F.col("chunk"), bits))
     rows = rows.join(shared.select("hash"), "hash", "left_semi")
     order = Window.partitionBy("hash").orderBy("chunk")
     ordinals = rows.select("hash", "chunk").distinct().withColumn("ordinal", F.row_number().over(order)).where("ordinal > 1")
     return (
         rows.join(ordinals, ["hash", "chunk"])
-        .groupBy("doc_id")
+        .groupBy("text_sha256")
         .agg(F.array_sort(F.collect_set(F.struct("pos", "ordinal"))).alias("apart"))
     )
 
@@ -68,7 +77,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if shared.isEmpty():
         recipes = recipes.withColumn("apart", F.lit(None).cast("array<struct<pos:int,ordinal:int>>"))
     else:
-        recipes = cut_lineage(recipes.join(_told_apart(chunks, shared, hash_bits), "doc_id", "left"))
+        recipes = cut_lineage(recipes.join(_told_apart(chunks, shared, hash_bits), "text_sha256", "left"))
     recipes = recipes.withColumn("apart", F.coalesce("apart", F.expr("cast(array() as array<struct<pos:int,ordinal:int>>)")))
     groups = cut_lineage(
         recipes.groupBy("recipe", "apart").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
