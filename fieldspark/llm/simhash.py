@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from fieldspark.llm.common import cut_lineage, documents, first_row, with_row_keys
+from fieldspark.llm.common import cut_lineage, documents, first_row, shuffle_partitions, with_row_keys
 from fieldspark.llm.components import connected_components
 from fieldspark.llm.golay import codeword_indices
 
@@ -113,6 +113,8 @@ def _apart(a: str, b: str):
 
 def near_links(nodes: DataFrame, apart: int = BITS_APART) -> DataFrame:
     """Components of distinct fingerprints (node, fp) -> (node, component) of those with a link."""
+    # A fingerprint becomes some 46 keys, so its small table is dealt to all tasks first.
+    nodes = cut_lineage(nodes.select("node", "fp").repartition(shuffle_partitions(nodes.sparkSession), "node"))
     keyed = _keyed(nodes.withColumn("comp", F.col("node")))
     # Stars: a key's least node, by a grouped minimum that is combined before the shuffle.
     least = cut_lineage(keyed.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -123,7 +125,7 @@ def near_links(nodes: DataFrame, apart: int = BITS_APART) -> DataFrame:
     joined = connected_components(stars)
     # What is left: pairs within a key whose ends the stars have not joined.
     known = nodes.join(joined.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    keyed = _keyed(cut_lineage(known))
+    keyed = _keyed(cut_lineage(known.repartition(shuffle_partitions(nodes.sparkSession), "node")))
     sizes = keyed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"))
     main = cut_lineage(main.where("comps > 1").select("key", "main"))
