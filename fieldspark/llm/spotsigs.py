@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from fieldspark.llm.common import documents
+from fieldspark.llm.common import documents, shuffle_partitions
 
 WORD = re.compile(r"\w+")
 ANCHORS, CHAIN = 100, 2
-#: Rows of one neighbourhood bucket, about.
-BUCKET_ROWS = 1_000
+#: Rows of one neighbourhood bucket, about, until there are so many buckets for each shuffle partition.
+BUCKET_ROWS, BUCKETS = 1_000, 8
+#: Ids drawn for each bucket to find the buckets' edges.
+DRAWN = 20
+#: What a null id is sorted as.
+NULL_ID = -(1 << 63)
 _KEPT = 300_000
 
 
@@ -141,43 +146,60 @@ def similar_sets(prints: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     return pairs.where(F.col("jaccard") >= threshold).distinct(), member
 
 
+def bucket_edges(drawn: list[int], many: int) -> list[tuple[int, int]]:
+    """About many - 1 edges (id, hash) between sorted drawn ids; an id drawn for several edges is divided by hash."""
+    picked = Counter(drawn[len(drawn) * k // many] for k in range(1, many)) if drawn else Counter()
+    return sorted((i, NULL_ID + (1 << 64) * k // n) for i, n in picked.items() for k in range(n))
+
+
 def neighbourhoods(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows in buckets of neighbouring ids: bucket, extra, id, packed (a compressed text).
+    """Rows in buckets of neighbours by (id, hash of the text): bucket, extra, id, hash, packed (a compressed text).
 
-    The first id of each bucket is also sent to the bucket before it, as an extra row (that
+    The rows of a bucket's least id are also sent to the bucket before it, as extra rows (those
     of the first bucket to the last one), so each text moves once and every row finds the
-    next one beside it.  Bucket edges are approximate quantiles; any edges give the same.
+    next one beside it.  Edges come from a sample of the ids; any edges give the same.  There
+    are BUCKETS edges for each shuffle partition at most, so what the driver and the tasks
+    hold does not grow with the rows, and rows of one frequent id are spread by their hashes.
     """
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    ids = docs.select(key.alias("id"))
-    many = max(1, ids.count() // BUCKET_ROWS)
-    edges = sorted({int(x) for x in ids.approxQuantile("id", [i / many for i in range(1, many)], 0.2 / many)}) if many > 1 else []
+    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID)).alias("id")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    total = docs.count()
+    many = max(1, min(total // BUCKET_ROWS, BUCKETS * shuffle_partitions(docs.sparkSession)))
+    drawn = docs.select(key).sample(fraction=min(1.0, DRAWN * many / total), seed=1).collect() if many > 1 else []
+    edges = bucket_edges(sorted(r["id"] for r in drawn), many)
+    bucket_of = lambda ids, hashes: [bisect_right(edges, x) for x in zip(ids, hashes, strict=True)]
 
     def least(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = {}
         for batch in it:
-            values = batch.column(0).to_numpy()
-            numbers, at = np.unique(np.searchsorted(np.array(edges, np.int64), np.sort(values), side="right"), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers.astype(np.int32)), pa.array(np.sort(values)[at])], ["bucket", "id"])
-
-    least_ids = ids.mapInArrow(least, "bucket int, id bigint").groupBy("bucket").agg(F.min("id").alias("id"))
-    firsts = sorted((r["bucket"], r["id"]) for r in least_ids.collect())
-    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
+            ids, hashes = (batch.column(k).to_pylist() for k in range(2))
+            for n, i in zip(bucket_of(ids, hashes), ids, strict=True):
+                if i < found.get(n, 1 << 63):
+                    found[n] = i
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["bucket", "id"])
+
+    # Texts are read for this only if an id is divided.
+    divided = any(h != NULL_ID for _, h in edges)
+    least_ids = docs.select(key, (F.xxhash64(text) if divided else F.lit(0).cast("bigint")).alias("hash")).mapInArrow(least, "bucket int, id bigint")
+    firsts = sorted((r["bucket"], r["id"]) for r in least_ids.groupBy("bucket").agg(F.min("id").alias("id")).collect())
+    before = {n: (first, firsts[k - 1][0]) for k, (n, first) in enumerate(firsts)}
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in it:
-            numbers = np.searchsorted(np.array(edges, np.int64), batch.column(0).to_numpy(), side="right")
+            ids, hashes = (batch.column(k).to_pylist() for k in range(2))
             out: list[tuple] = []
-            for n, i, text in zip(numbers.tolist(), batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packed = squeeze((text.as_py() or "").encode())
-                out.append((n, 0, i, packed))
-                if i in before:
-                    out.append((before[i], 1, i, packed))
-            columns = zip(*out, strict=True) if out else ([], [], [], [])
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "extra", "id", "packed"])
+            for n, i, h, text in zip(bucket_of(ids, hashes), ids, hashes, batch.column(2), strict=True):
+                packed = squeeze(text.as_py().encode())
+                out.append((n, 0, i, h, packed))
+                if i == before[n][0]:
+                    out.append((before[n][1], 1, i, h, packed))
+            columns = zip(*out, strict=True) if out else ([], [], [], [], [])
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "extra", "id", "hash", "packed"])
 
-    return docs.select(key.alias("id"), F.col(text_col).alias("text")).mapInArrow(batches, "bucket int, extra int, id bigint, packed binary")
+    rows = docs.select(key, F.xxhash64(text).alias("hash"), text.alias("text"))
+    return rows.mapInArrow(batches, "bucket int, extra int, id bigint, hash bigint, packed binary")
 
 
 def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN) -> DataFrame:
@@ -185,11 +207,10 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The edited text has its last floor(n / 2) code points replaced by the first as many (or
     all) of the next document's, in ascending doc_id, the first following the last.  Null
-    counts as empty; a null id comes first; rows of one id are ordered by their text.  An
-    empty table gives no rows; other columns are ignored.
+    counts as empty; a null id comes first; rows of one id are ordered by a hash of their
+    text.  An empty table gives no rows; other columns are ignored.
     """
     anchors = anchor_words(docs, text_col)
-    null_id = -(1 << 63)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spotter = Spotter(anchors, chain)
@@ -199,27 +220,29 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         last = None
         for batch in it:
             out = []
-            for bucket, extra, i, packed in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for bucket, extra, i, packed in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
+                if extra and last is None:
+                    continue  # more rows of the id that begins the next bucket
                 text = open_up(packed).decode()
                 own = spotter(text)
                 if last is not None and last[0] == bucket:
-                    out.append(_compared(last, text, own, spotter, null_id))
+                    out.append(_compared(last, text, own, spotter))
                 last = None if extra else (bucket, i, text, own)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     rows = neighbourhoods(docs, id_col, text_col)
-    spread = rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", "extra", "id", "packed")
+    spread = rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", "extra", "id", "hash")
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return spread.mapInArrow(batches, schema)
 
 
-def _compared(last: tuple, after: str, after_spots: np.ndarray, spotter: Spotter, null_id: int) -> tuple:
+def _compared(last: tuple, after: str, after_spots: np.ndarray, spotter: Spotter) -> tuple:
     _, i, text, own = last
     half = len(text) // 2
     edited = text[: len(text) - half] + after[:half]
     spots = spotter(edited)
-    return (None if i == null_id else i, len(text), hashlib.sha256(edited.encode()).hexdigest(), as_text(own), as_text(spots), likeness(own, spots), likeness(own, after_spots))
+    return (None if i == NULL_ID else i, len(text), hashlib.sha256(edited.encode()).hexdigest(), as_text(own), as_text(spots), likeness(own, spots), likeness(own, after_spots))
 
 
 def op5_fingerprints(spark, sf_dir):

@@ -116,16 +116,14 @@ def test_simhash_joins_chains_of_near_fingerprints(spark):
 
 @pytest.mark.parametrize("bits", [64, 3])
 def test_exact_dedup(spark, docs, empty, bits):
-    got = exact_dedup.exact_duplicates(docs, least=8, most=64, hash_bits=bits).collect()
-    normal = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t, _ in rows()]
+    more = [(3, "an id that has other texts too", "en"), (3, texts()[4], "en"), (None, texts()[5], None), (None, "中文字符没有空格" * 40, None), (99, "中文字符没有空格" * 40, None), (98, "0a1b2c3d4e5f" * 30, None)]
+    got = exact_dedup.exact_duplicates(docs.unionByName(table(spark, more)), least=8, most=64, hash_bits=bits).collect()
+    normal = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t, _ in rows() + more]
     groups = {}
     for i, t in normal:
         groups.setdefault(t, []).append(i)
     want = Counter((i, min(x for x in groups[t] if x is not None) if any(x is not None for x in groups[t]) else None, len(groups[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in normal)
-    if bits == 64:
-        assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
-    else:  # with colliding hashes null ids cannot be told apart by the join on ids; the rest is exact
-        assert {(r["doc_id"], r["keep_id"], r["text_sha256"]) for r in got if r["doc_id"] is not None} == {(i, k, s) for i, k, _, s in want if i is not None}
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
     assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got if r["doc_id"] is not None)
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
@@ -276,22 +274,43 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(language_id._long_score("▁" + "ab" * 20, vocab, probs), language_id.word_scores(["ab" * 20], vocab, probs)[0])
 
 
-def test_fingerprints(spark, docs, empty, monkeypatch):
+def brute_spots(text, anchors):
+    """Spot hashes of a text, word by word with plain integers."""
+    full = (1 << 64) - 1
+    words = re.findall(r"\w+", text.lower())
+    code = lambda w: xxhash.xxh64_intdigest(w) & ~1 | (w in anchors)
+    out = set()
+    for k, w in enumerate(words):
+        chain = [v for v in words[k + 1:] if v not in anchors][:spotsigs.CHAIN]
+        if w in anchors and len(chain) == spotsigs.CHAIN:
+            h = code(w)
+            for v in chain:
+                h = ((h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 + code(v)) & full
+            out.add(((h ^ (h >> 32)) * 0x94D049BB133111EB & full) >> 32)
+    if not out and text:
+        out = {xxhash.xxh64_intdigest(" ".join(words) if words else text) >> 32}
+    return "".join(f"{x:08x}" for x in sorted(out))
+
+
+@pytest.mark.parametrize("repeats", [0, 30])
+def test_fingerprints(spark, docs, empty, monkeypatch, repeats):
     monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 7)
-    known = docs.where("doc_id is not null")
-    got = {r["doc_id"]: r for r in spotsigs.edited_likeness(known).collect()}
-    order = [(i, t or "") for i, t, _ in sorted((r for r in rows() if r[0] is not None), key=lambda r: r[0])]
-    assert len(got) == len(order)
+    more = [(3, f"one id and another text {k} of the same, with the and of", "en") for k in range(repeats)]
+    known = docs.where("doc_id is not null").unionByName(table(spark, more))
+    got = Counter(tuple(r) for r in spotsigs.edited_likeness(known).collect())
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    order = [(i, t or "") for i, t, _ in sorted(((i, t or "", x) for i, t, x in rows() + more if i is not None), key=lambda r: (r[0], signed(r[1])))]
+    counts = Counter(w for _, t in order for w in re.findall(r"\w+", t.lower()))
+    anchors = set(sorted(counts, key=lambda w: (-counts[w], w))[:spotsigs.ANCHORS])
+    want = Counter()
     for k, (i, t) in enumerate(order):
-        half = len(t) // 2
-        after = order[(k + 1) % len(order)]
-        assert got[i]["edited_sha256"] == hashlib.sha256((t[: len(t) - half] + after[1][:half]).encode()).hexdigest()
-        sets = [{f[x:x + 8] for x in range(0, len(f), 8)} for f in (got[i]["fingerprint"], got[i]["edited_fingerprint"], got[after[0]]["fingerprint"])]
+        half, after = len(t) // 2, order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - half] + after[:half]
+        prints = [brute_spots(x, anchors) for x in (t, edited, after)]
+        sets = [{f[x:x + 8] for x in range(0, len(f), 8)} for f in prints]
         like = [len(sets[0] & s) / len(sets[0] | s) if sets[0] | s else 1.0 for s in sets[1:]]
-        assert (got[i]["near_edited"], got[i]["near_next"]) == pytest.approx(like)
-    same = {}
-    for i, t in order:
-        assert same.setdefault(t, got[i]["fingerprint"]) == got[i]["fingerprint"]
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), prints[0], prints[1], *like] += 1
+    assert got == want
     assert spotsigs.edited_likeness(empty).count() == 0
     assert spotsigs.edited_likeness(docs).count() == len(rows())
 
