@@ -11,6 +11,7 @@ through a logistic curve fitted on the same sample, the score.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ STEMS = (5, 6, 7)
 _KEPT = 300_000
 #: Characters of texts that are scored together.
 _PART_CHARS = 1_000_000
+#: Pairs of tokens whose marginals are summed together in training.
+_PAIRS = 1 << 17
 
 
 def word_features(word: str) -> list[str]:
@@ -87,7 +90,7 @@ class Chains:
             blocks = np.flatnonzero(step == n)
             inside = np.arange(n)[:, None] < size[blocks]
             place = at[np.minimum(begin[blocks] + np.arange(n)[:, None], len(at) - 1)]
-            self.groups.append((blocks, np.where(inside, place, -1)))
+            self.groups.append((blocks, np.where(inside, place, -1).astype(np.int32)))
 
     def odds(self, emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward log-odds of every token (0 at breaks), over whole chains."""
@@ -209,47 +212,58 @@ def _merged(text: str, p: np.ndarray) -> list[tuple[int, int, float]]:
     return out
 
 
-def toxic_features(words: list[list[str]], toxic: list[int], weights: list[float]) -> set[str]:
-    """Features of at least three texts and 1 % of the toxic ones, nine in ten of their texts toxic."""
+class _Words:
+    """Texts as numbers of lower-cased words (-1 for a break, also after each text), and the words by number."""
+
+    def __init__(self, texts: list[str]):
+        numbers: dict[str, int] = {}
+        written: dict[str, int] = dict.fromkeys(_BREAKS, -1)
+        flat, self.edges = array("i"), [0]
+        for text in texts:
+            for m in TOKEN.finditer(text):
+                if (k := written.get(m[0])) is None:
+                    k = written[m[0]] = numbers.setdefault(m[0].lower(), len(numbers))
+                flat.append(k)
+            flat.append(-1)
+            self.edges.append(len(flat))
+        self.flat, self.words = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), list(numbers)
+
+    def features_of_texts(self) -> Iterator[set[str]]:
+        for i, j in zip(self.edges, self.edges[1:]):
+            yield {f for k in np.unique(self.flat[i:j]).tolist() if k >= 0 for f in word_features(self.words[k])}
+
+
+def toxic_features(words: _Words, toxic: list[int], weights: list[float]) -> tuple[set[str], set[str]]:
+    """Features of at least three texts and 1 % of the toxic ones, nine in ten of their texts toxic; and features of five texts."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    number = 0
-    for own, label, weight in zip(words, toxic, weights, strict=True):
-        number += label
-        for f in {f for w in set(own) for f in word_features(w)}:
+    common: Counter = Counter()
+    for own, label, weight in zip(words.features_of_texts(), toxic, weights, strict=True):
+        common.update(own)
+        for f in own:
             seen[label][f] += 1 if label else weight
-    least = max(3, 0.01 * number)
-    return {f for f, n in seen[1].items() if n >= least and n >= 9 * seen[0][f] and f not in _BREAKS}
+    least = max(3, 0.01 * sum(toxic))
+    return {f for f, n in seen[1].items() if n >= least and n >= 9 * seen[0][f]}, {f for f, n in common.items() if n >= 5}
 
 
 def train(texts: list[str], toxic: list[int], weights: list[float], rounds: int = 40) -> Field:
     """The field and the curve from labelled texts; weights: clean rows that a sampled one stands for.
 
     All sentences of the texts take part.  Gradients are summed word by word first, then by feature.
+    A text is four bytes for each of its words here, and some twenty times that while a round runs.
     """
-    words = [[w.lower() for w in TOKEN.findall(t)] for t in texts]
-    bad = toxic_features(words, toxic, weights)
-    common = Counter(f for own in words for f in {f for w in set(own) for f in word_features(w)})
-    known = sorted((set(f for f, n in common.items() if n >= 5) | bad) - _BREAKS)
+    words = _Words(texts)
+    bad, common = toxic_features(words, toxic, weights)
+    known = sorted(common | bad)
     number = {f: i + 2 for i, f in enumerate(known)}  # 0: no feature, weight 0; 1: the bias
-    vocabulary: dict[str, int] = {}
-    coded, marked = [], []
-    ids, tags = [], []
-    for own, label in zip(words, toxic, strict=True):
-        for w in own:
-            if (k := vocabulary.get(w)) is None:
-                k = vocabulary[w] = len(vocabulary)
-                found = word_features(w)
-                coded.append([1, *(number.get(f, 0) for f in found), *[0] * (len(STEMS) + 1 - len(found))])
-                marked.append(any(f in bad for f in found))
-            ids.append(-1 if w in _BREAKS else k)
-            tags.append(label and marked[k])
-        ids.append(-1)
-        tags.append(0)
-    codes, flat, tag = np.array(coded, np.int64).reshape(-1, len(STEMS) + 2), np.array(ids, np.int64), np.array(tags, float)
+    found = [word_features(w) for w in words.words]
+    codes = np.array([[1, *(number.get(f, 0) for f in own), *[0] * (len(STEMS) + 1 - len(own))] for own in found], np.int32).reshape(-1, len(STEMS) + 2)
+    marked = np.array([any(f in bad for f in own) for own in found] + [False])  # -1 is the last
+    flat = words.flat
+    tag = marked[flat] & np.repeat(np.array(toxic, bool), np.diff(words.edges))
     breaks = flat < 0
     chains, inside = Chains(breaks), np.flatnonzero(~breaks)
     left = np.flatnonzero(~breaks[:-1] & ~breaks[1:])
-    both = (2 * tag[left] + tag[left + 1]).astype(int)
+    pairs = np.bincount(2 * tag[left] + tag[left + 1], minlength=4)
     weight, trans = np.zeros(len(known) + 2), np.zeros((2, 2))
     prior = np.zeros_like(weight)
     prior[1] = weight[1] = -3.0
@@ -263,10 +277,13 @@ def train(texts: list[str], toxic: list[int], weights: list[float], rounds: int
         by_word = np.bincount(flat[inside], rest, len(codes))
         grad_w = 0.01 * (weight - prior) + np.bincount(codes.ravel(), np.repeat(by_word, codes.shape[1]), len(weight))
         # Pair marginals from the forward odds on the left and what follows on the right.
-        a, b = fwd[left], emission[left + 1] + bwd[left + 1]
-        score = np.stack([np.zeros_like(a) + trans[0, 0], b + trans[0, 1], a + trans[1, 0], a + b + trans[1, 1]])
-        score = np.exp(score - score.max(axis=0))
-        grad_t = 0.01 * trans + ((score / score.sum(axis=0)).sum(axis=1) - np.bincount(both, minlength=4)).reshape(2, 2)
+        grad_t = 0.01 * trans - pairs.reshape(2, 2)
+        for lo in range(0, len(left), _PAIRS):
+            at = left[lo:lo + _PAIRS]
+            a, b = fwd[at], emission[at + 1] + bwd[at + 1]
+            score = np.stack([np.zeros_like(a) + trans[0, 0], b + trans[0, 1], a + trans[1, 0], a + b + trans[1, 1]])
+            score = np.exp(score - score.max(axis=0))
+            grad_t += (score / score.sum(axis=0)).sum(axis=1).reshape(2, 2)
         grad_w[0] = 0.0
         for value, grad, step, square in ((weight, grad_w, step_w, square_w), (trans, grad_t, step_t, square_t)):
             step *= 0.9
@@ -277,8 +294,7 @@ def train(texts: list[str], toxic: list[int], weights: list[float], rounds: int
     field = Field({f: float(weight[i]) for f, i in number.items() if weight[i]}, float(weight[1]), trans, np.array([-3.0, 6.0, 0.0]))
     emission[inside] = weight[codes].sum(axis=1)[flat[inside]]
     p = marginals(np.where(breaks, np.nan, emission), trans)
-    edges = np.cumsum([0, *(len(own) + 1 for own in words)])
-    rows = np.array([features(p[i:j]) for i, j in zip(edges, edges[1:])]).reshape(-1, 3)
+    rows = np.array([features(p[i:j]) for i, j in zip(words.edges, words.edges[1:])]).reshape(-1, 3)
     field.curve = _logistic(rows, np.array(toxic, float), np.where(np.array(toxic) == 1, 1.0, np.array(weights)))
     return field
 
