@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from fieldspark.functions.scalar import clean, ratio
+from fieldspark.jobs.registry import ORACLES, QUERIES, _bag, _r, query
 from fieldspark.operators import binning, events, lattices, regimes, spectral, stats
 from fieldspark.sources import views
 
@@ -16,27 +17,7 @@ TAIL_REGIONS = ["lower", "center", "center", "center", "upper"]
 SIGMA = 1.25
 N = 4  # side of the cubes in embeddings
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _bag(sql: str) -> str:
-    return f"WITH {views.BAG_SQL}, {sql.strip()}"
-
-
-def _r(expression: str, digits: int = 6) -> str:
-    return f"round({expression}, {digits}) + 0e0"
-
+__all__ = ["ORACLES", "QUERIES"]
 
 # --- regimes and global statistics over the bag of points -------------------------------------
 
@@ -429,3 +410,6 @@ def flux_ladder(spark, sf_dir):
     e = 185e-6 * 2 * F.avg("strain")
     return d.agg(clean(-F.avg("pi")).alias("forward_mean_pi"), clean(e, 8).alias("epsilon"), clean(ratio(-F.avg("pi"), e), 3).alias("pi_over_epsilon"),
                  clean(F.sqrt(F.avg(F.col("divergence") ** 2))).alias("divergence_rms"), clean(F.avg((F.col("pi") < 0).cast("double"))).alias("forward_fraction"))
+
+
+from fieldspark.jobs import conditional, gates, grids  # noqa: E402, F401  (they register their own queries)
