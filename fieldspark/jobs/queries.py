@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from fieldspark.functions.scalar import clean, ratio
+from fieldspark.jobs.cubes import _DERIVE, SIGMA, N, _axis, _gauss, _list, derived_sql, velocity
 from fieldspark.jobs.registry import ORACLES, QUERIES, _bag, _r, query
 from fieldspark.operators import binning, events, lattices, regimes, spectral, stats
 from fieldspark.sources import views
@@ -14,8 +15,6 @@ from fieldspark.sources import views
 ALPHAS, BETAS = [0.5, 1.0, 1.5], [1.0, 1.5, 2.0]
 TAIL_EDGES = [0.0, 0.25, 1.0, 2.25, 4.0, 6.25]
 TAIL_REGIONS = ["lower", "center", "center", "center", "upper"]
-SIGMA = 1.25
-N = 4  # side of the cubes in embeddings
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -319,26 +318,6 @@ def halo_dependencies(spark, sf_dir):
 
 # --- spectral operators and derived fields on the cubes of embeddings -------------------------
 
-def _list(values) -> str:
-    return "[" + ", ".join(f"{x:.17e}" for x in values) + "]"
-
-
-def _axis(name: str, source: str, axis: str, kernel: list[float], columns: dict[str, str]) -> str:
-    place = ", ".join(f"r.i::INTEGER AS {a}" if a == axis else f"s.{a}" for a in "zyx")
-    group = ", ".join("r.i" if a == axis else f"s.{a}" for a in "zyx")
-    sums = ", ".join(f"sum({_list(kernel)}[((r.i - s.{axis} + {N}) % {N}) + 1] * s.{c}) AS {out}" for out, c in columns.items())
-    return f"{name} AS MATERIALIZED (SELECT s.frame, {place}, {sums} FROM {source} s, range({N}) r(i) GROUP BY s.frame, {group})"
-
-
-_DERIVE = spectral.derivative_kernel(N, 2 * math.pi)
-_SMOOTH = spectral.gaussian_kernel(N, SIGMA)
-
-
-def _gauss(name: str, source: str, columns: dict[str, str]) -> str:
-    same = {c: c for c in columns}
-    return ", ".join([_axis(f"{name}_1", source, "x", _SMOOTH, columns), _axis(f"{name}_2", f"{name}_1", "y", _SMOOTH, same), _axis(name, f"{name}_2", "z", _SMOOTH, same)])
-
-
 _CUBES = f"WITH {views.CUBES_SQL}"
 _PLACE = "(z * 16 + y * 4 + x)::INTEGER AS p"
 
@@ -365,48 +344,19 @@ def smooth_sharp_filter(spark, sf_dir):
     return spectral.as_points(d, ["v"]).withColumn("v", clean(F.col("v")))
 
 
-def _velocity(spark, sf_dir):
-    """Three neighbouring cubes as the components of one velocity; an incomplete last one goes."""
-    d = views.cubes(spark, sf_dir).groupBy(F.floor(F.col("frame") / 3).alias("frame")).agg(
-        *[F.max(F.when(F.col("frame") % 3 == k, F.col("cube"))).alias(f"u{a}") for k, a in enumerate("xyz")])
-    return d.where("ux is not null and uy is not null and uz is not null")
-
-
-def _derived_sql() -> str:
-    pairs = [(i, j) for i in "xyz" for j in "xyz"]
-    upper = ["xx", "xy", "xz", "yy", "yz", "zz"]
-    t = lambda i, j: "t" + "".join(sorted(i + j))
-    join = "USING (frame, z, y, x)"
-    steps = [views.CUBES_SQL,
-             "v AS MATERIALIZED (SELECT frame // 3 AS frame, z, y, x, max(v) FILTER (frame % 3 = 0) AS ux, max(v) FILTER (frame % 3 = 1) AS uy, max(v) FILTER (frame % 3 = 2) AS uz FROM cells GROUP BY ALL HAVING count(*) = 3)",
-             *[_axis(f"g{j}", "v", j, _DERIVE, {f"g{i}{j}": f"u{i}" for i in "xyz"}) for j in "xyz"],
-             f"r AS MATERIALIZED (SELECT *, {', '.join('+'.join(f'u{j}*g{i}{j}' for j in 'xyz') + f' AS a{i}' for i in 'xyz')}, {', '.join(f'u{p[0]}*u{p[1]} AS p{p}' for p in upper)} FROM v JOIN gx {join} JOIN gy {join} JOIN gz {join})",
-             _gauss("f", "r", {**{f"e{i}": f"u{i}" for i in "xyz"}, **{f"ga{i}": f"a{i}" for i in "xyz"}, **{f"q{p}": f"p{p}" for p in upper}}),
-             f"w AS MATERIALIZED (SELECT *, {', '.join(f'q{p} - e{p[0]}*e{p[1]} AS t{p}' for p in upper)} FROM f)",
-             *[_axis(f"h{j}", "w", j, _DERIVE, {f"h{i}{j}": f"e{i}" for i in "xyz"}) for j in "xyz"],
-             f"m AS MATERIALIZED (SELECT *, {', '.join('+'.join(f'e{i}*{t(i, j)}' for i in 'xyz') + f' AS f{j}' for j in 'xyz')} FROM w)",
-             *[_axis(f"s{j}", "m", j, _DERIVE, {f"s{j}": f"f{j}"}) for j in "xyz"]]
-    wr = "+".join(f"e{i}*e{j}*h{i}{j}" for i, j in pairs)
-    pi = "+".join(f"{t(i, j)}*h{i}{j}" for i, j in pairs)
-    ss = "+".join(f"(g{i}{j}+g{j}{i})*(g{i}{j}+g{j}{i})/4" for i, j in pairs)
-    steps.append(f"""fields AS MATERIALIZED (SELECT w.frame, w.z*16 + w.y*4 + w.x AS p, ex*gax + ey*gay + ez*gaz AS work_full, {wr} AS work_resolved, {pi} AS pi, sx.sx + sy.sy + sz.sz AS s_bar,
-      gxx + gyy + gzz AS divergence, {ss} AS strain FROM w JOIN r {join} JOIN hx {join} JOIN hy {join} JOIN hz {join} JOIN sx {join} JOIN sy {join} JOIN sz {join})""".replace("w.z*16 + w.y*4 + w.x", "z*16 + y*4 + x").replace("w.frame", "frame"))
-    return "WITH " + ", ".join(steps)
-
-
 _FIELDS = ("work_full", "work_resolved", "pi", "s_bar", "divergence", "strain")
 
 
-@query(f"{_derived_sql()} SELECT frame, p::INTEGER AS p, {', '.join(f'{_r(c)} AS {c}' for c in _FIELDS)} FROM fields")
+@query(f"{derived_sql()} SELECT frame, p::INTEGER AS p, {', '.join(f'{_r(c)} AS {c}' for c in _FIELDS)} FROM fields")
 def derived_fields(spark, sf_dir):
-    d = spectral.as_points(spectral.derived_fields(_velocity(spark, sf_dir), N, SIGMA), list(_FIELDS))
+    d = spectral.as_points(spectral.derived_fields(velocity(spark, sf_dir), N, SIGMA), list(_FIELDS))
     return d.select("frame", "p", *[clean(F.col(c)).alias(c) for c in _FIELDS])
 
 
-@query(f"""{_derived_sql()} SELECT frame, {_r('-avg(pi)')} AS forward_mean_pi, {_r('185e-6 * 2 * avg(strain)', 8)} AS epsilon, {_r('-avg(pi) / nullif(185e-6 * 2 * avg(strain), 0)', 3)} AS pi_over_epsilon,
+@query(f"""{derived_sql()} SELECT frame, {_r('-avg(pi)')} AS forward_mean_pi, {_r('185e-6 * 2 * avg(strain)', 8)} AS epsilon, {_r('-avg(pi) / nullif(185e-6 * 2 * avg(strain), 0)', 3)} AS pi_over_epsilon,
   {_r('sqrt(avg(divergence * divergence))')} AS divergence_rms, {_r('avg((pi < 0)::double)')} AS forward_fraction FROM fields GROUP BY frame""")
 def flux_ladder(spark, sf_dir):
-    d = spectral.as_points(spectral.derived_fields(_velocity(spark, sf_dir), N, SIGMA), list(_FIELDS)).groupBy("frame")
+    d = spectral.as_points(spectral.derived_fields(velocity(spark, sf_dir), N, SIGMA), list(_FIELDS)).groupBy("frame")
     e = 185e-6 * 2 * F.avg("strain")
     return d.agg(clean(-F.avg("pi")).alias("forward_mean_pi"), clean(e, 8).alias("epsilon"), clean(ratio(-F.avg("pi"), e), 3).alias("pi_over_epsilon"),
                  clean(F.sqrt(F.avg(F.col("divergence") ** 2))).alias("divergence_rms"), clean(F.avg((F.col("pi") < 0).cast("double"))).alias("forward_fraction"))
