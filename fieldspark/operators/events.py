@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.scalar import angle_degrees, clean, ratio
 from fieldspark.operators.binning import uniform_bin
-from fieldspark.operators.stats import exact_percentiles
+from fieldspark.operators.stats import beside, exact_percentiles
 
 
 def event(q: Column, q_rms: Column, alpha, mode: str = "positive") -> Column:
@@ -17,9 +17,9 @@ def event(q: Column, q_rms: Column, alpha, mode: str = "positive") -> Column:
 
 
 def scaled(points: DataFrame) -> DataFrame:
-    """points with q over its frame's rms (qn) and u2 over its frame's mean (un)."""
+    """points with q over its frame's rms (qn) and u2 over its frame's mean (un); the points are not shuffled for it."""
     by = points.groupBy("frame").agg(F.sqrt(F.avg(F.col("q") * F.col("q"))).alias("q_rms"), F.avg("u2").alias("u2_mean"))
-    return points.join(by, "frame").withColumn("qn", ratio(F.col("q"), F.col("q_rms"))).withColumn("un", ratio(F.col("u2"), F.col("u2_mean")))
+    return points.join(beside(by), "frame").withColumn("qn", ratio(F.col("q"), F.col("q_rms"))).withColumn("un", ratio(F.col("u2"), F.col("u2_mean")))
 
 
 def threshold_counts(points: DataFrame, alphas: list[float], betas: list[float]) -> DataFrame:

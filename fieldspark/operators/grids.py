@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.scalar import clean, ratio
 from fieldspark.operators.lattices import AXES, blocks, stencil
-from fieldspark.operators.stats import exact_percentiles
+from fieldspark.operators.stats import beside, exact_percentiles
 
 NORMALS = {"xy": "z", "xz": "y", "yz": "x"}
 
@@ -120,7 +120,7 @@ def normalized_histograms(points: DataFrame, value: str, reach: float = 3.0, bin
 def pdf_summary(points: DataFrame, value: str) -> DataFrame:
     """Per frame: shares by sign and beyond one and two rms, mean over rms."""
     rms = points.groupBy("frame").agg(F.sqrt(F.avg(F.col(value) ** 2)).alias("rms"))
-    d = points.join(F.broadcast(rms), "frame").select("frame", "rms", F.col(value).alias("v"))  # a row per frame
+    d = points.join(beside(rms), "frame").select("frame", "rms", F.col(value).alias("v"))
     share = lambda c: clean(F.avg(c.cast("double")))
     v = F.col("v")
     return d.groupBy("frame").agg(F.count(F.lit(1)).alias("count"), share(v < 0).alias("forward"), share(v > 0).alias("backscatter"), share(F.abs(v) > F.col("rms")).alias("beyond_rms"), share(F.abs(v) > 2 * F.col("rms")).alias("beyond_2_rms"),

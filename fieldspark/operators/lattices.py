@@ -99,8 +99,26 @@ def stencil(points: DataFrame, axis: str, size: int, weights: dict[int, float],
 
 
 def fd4(points: DataFrame, axis: str, size: int, step: float) -> DataFrame:
-    """Fourth-order periodic derivative along an axis."""
-    return stencil(points, axis, size, {-2: 1 / (12 * step), -1: -8 / (12 * step), 1: 8 / (12 * step), 2: -1 / (12 * step)}, f"d{axis}")
+    """Fourth-order periodic derivative along an axis: each line of points is sorted once and wraps around.
+
+    A line with a missing or repeated point is an error.
+    """
+    line = Window.partitionBy(*[a for a in AXES if a != axis])
+    w, whole = line.orderBy(axis), line.orderBy(axis).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    place = F.col(axis)
+
+    def at(k: int):
+        """v at position + k, from the other end of the line where that lies outside it."""
+        inner = F.lead("v", k).over(w) if k > 0 else F.lag("v", -k).over(w)
+        out = inner
+        for p in range(size - k, size) if k > 0 else range(-k):
+            out = F.when(place == p, F.nth_value("v", (p + k) % size + 1).over(whole)).otherwise(out)
+        return out
+
+    complete = (F.count(F.lit(1)).over(whole) == size) & (F.row_number().over(w) - 1 == place)
+    value = (at(-2) - 8 * at(-1) + 8 * at(1) - at(2)) / (12 * step)
+    checked = F.when(complete, value).otherwise(F.raise_error(F.lit("a line of the lattice has missing or repeated points")).cast("double"))
+    return points.select(*AXES, checked.alias(f"d{axis}"))
 
 
 def fd2_open(points: DataFrame, axis: str, step: float) -> DataFrame:

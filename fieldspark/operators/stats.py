@@ -1,4 +1,4 @@
-"""Global statistics and quality gates: G2-G5, G12, exact percentiles without one hot task."""
+"""Global statistics: G2-G4, G12, exact percentiles without one hot task, small tables beside large ones."""
 
 from __future__ import annotations
 
@@ -8,34 +8,23 @@ from pyspark.sql import functions as F
 from fieldspark.functions.scalar import clean, ratio, safe_ratio
 
 
+def beside(rows: DataFrame, most: int = 100_000):
+    """A table to be joined with a large one: broadcast if it has at most `most` rows, else as it is.
+
+    Its rows are worked out once, here, so the join neither guesses their number nor shuffles the large side.
+    """
+    found = rows.limit(most + 1).collect()
+    return F.broadcast(rows.sparkSession.createDataFrame(found, rows.schema)) if len(found) <= most else rows
+
+
 def exact_percentile(values: DataFrame, column: str, share: float, bins: int = 4096) -> float | None:
     """The linear percentile, as by sorting all values, without sorting or gathering them.
 
-    Each round counts the values between two bounds in `bins` classes, with the extremes of
-    each class, and goes on inside the class that holds the rank, until its extremes meet.
-    Nulls are left out; None if nothing is left.
+    Both ranks that it lies between are narrowed in the same passes.  Nulls are left out; None if
+    nothing is left.
     """
-    v = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    whole = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if not whole["n"]:
-        return None
-
-    def ranked(rank: int) -> float:
-        lo, hi = whole["lo"], whole["hi"]
-        while lo < hi:
-            width = (hi - lo) / bins
-            place = F.least(F.floor((F.col("v") - lo) / width), F.lit(bins - 1)) if width > 0 else (F.col("v") > lo).cast("int")
-            rows = v.where(F.col("v").between(lo, hi)).groupBy(place.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-            for r in sorted(rows, key=lambda r: r["b"]):
-                if rank < r["n"]:
-                    lo, hi = r["lo"], r["hi"]
-                    break
-                rank -= r["n"]
-        return lo
-
-    at = share * (whole["n"] - 1)
-    low = ranked(int(at))
-    return low + (ranked(min(int(at) + 1, whole["n"] - 1)) - low) * (at - int(at)) if at > int(at) else low
+    found = exact_percentiles(values.select(F.lit(0).alias("of"), column), "of", column, [share], bins).first()
+    return found["p"][0] if found else None
 
 
 def exact_percentiles(values: DataFrame, group: str, column: str, shares: list[float], bins: int = 4096) -> DataFrame:

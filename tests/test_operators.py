@@ -7,19 +7,41 @@ from pyspark.sql import functions as F
 from fieldspark.operators import binning, events, lattices, regimes, spectral, stats
 
 
-def test_six_regimes_and_zero_is_nonnegative(spark):
-    wf, wr = [2, 1, 1, 1, -1, -1, -1, -2, 0], [1, 2, -1, -1, 1, 1, -2, -1, 0]
-    d = spark.createDataFrame(list(zip(map(float, wf), map(float, wr))), "work_full double, work_resolved double")
-    assert [r[0] for r in d.select(regimes.sign_regime()).collect()] == ["1+", "1-", "2", "2", "3", "3", "4+", "4-", "1+"]
+def plain_regime(a, b):
+    if (a >= 0) != (b >= 0):
+        return "2" if a >= 0 else "3"
+    return ("1" if a >= 0 else "4") + ("+" if a - b >= 0 else "-")
 
 
-def test_threshold_codes_are_strict(spark):
-    d = spark.createDataFrame([(3.0, 2.0), (2.0, 3.0), (2.0, -2.0), (-2.0, 2.0), (-2.0, -3.0), (-3.0, -2.0), (0.0, 1.0)], "work_full double, work_resolved double")
-    assert [r[0] for r in d.select(regimes.threshold_code(F.lit(0.1), F.lit(0.1))).collect()] == [1, 2, 3, 4, 5, 6, 0]
+def test_every_point_of_a_grid_of_works_has_its_regime(spark):
+    steps = [k / 4 for k in range(-7, 8)]
+    rows = [(a, b, plain_regime(a, b)) for a in steps for b in steps]
+    d = spark.createDataFrame(rows, "work_full double, work_resolved double, want string")
+    assert d.where(regimes.sign_regime() != F.col("want")).count() == 0
+    assert {r["want"]: r["count"] for r in d.groupBy("want").count().collect()} == {"1+": 36, "1-": 28, "2": 56, "3": 56, "4+": 28, "4-": 21}
+
+
+def test_threshold_codes_leave_what_is_on_a_threshold_uncertain(spark):
+    full, resolved = 0.75, 0.5
+
+    def plain(a, b):
+        small = max(full, resolved)
+        if abs(a) <= full or abs(b) <= resolved:
+            return 0
+        if (a > 0) != (b > 0):
+            return 3 if a > 0 else 4
+        if abs(a - b) <= small:
+            return 0
+        return {(True, True): 1, (True, False): 2, (False, True): 5, (False, False): 6}[a > 0, a - b > 0]
+
+    steps = [k / 4 for k in range(-9, 10)]
+    d = spark.createDataFrame([(a, b, plain(a, b)) for a in steps for b in steps], "work_full double, work_resolved double, want int")
+    assert d.where(regimes.threshold_code(F.lit(full), F.lit(resolved)) != F.col("want")).count() == 0
+    assert {r[0] for r in d.select("want").distinct().collect()} == set(range(7))
 
 
 def test_exact_percentile(spark):
-    values = np.abs(np.random.default_rng(42).normal(size=5003)).tolist() + [0.25] * 3000
+    values = np.random.default_rng(905).gamma(1.7, size=4211).tolist() + [1.25] * 2500 + [-3.0]
     d = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
     for share in (0.0, 0.3, 0.5, 0.99, 1.0):
         assert stats.exact_percentile(d, "v", share) == pytest.approx(np.percentile(values, 100 * share), abs=1e-12)
@@ -44,21 +66,30 @@ def test_no_task_gathers_the_values_of_a_bin(spark):
         assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_last_bin_is_closed(spark):
-    d = spark.createDataFrame([(x,) for x in (-10.0, -1.0, 0.0, 1.0, 10.0, 11.0)], "x double")
-    assert [r[0] for r in d.select(binning.edge_bin(F.col("x"), [-10, -1, 1, 10])).collect()] == [0, 1, 1, 2, 2, None]
-    assert [r[0] for r in d.select(binning.uniform_bin(F.col("x"), -10.0, 10.0, 4)).collect()] == [0, 1, 2, 2, 3, None]
+def test_bins_are_half_open_but_for_the_last(spark):
+    edges = [-4.5, -0.5, 2.0, 3.0, 7.5]
+    values = [k / 2 for k in range(-12, 18)]
+    d = spark.createDataFrame([(x,) for x in values], "x double")
+    counts, _ = np.histogram(values, edges)
+    got = [r[0] for r in d.select(binning.edge_bin(F.col("x"), edges)).collect()]
+    assert [got.count(k) for k in range(4)] == counts.tolist() and got.count(None) == len(values) - counts.sum()
+    even, _ = np.histogram(values, 5, (-3.0, 7.0))
+    got = [r[0] for r in d.select(binning.uniform_bin(F.col("x"), -3.0, 7.0, 5)).collect()]
+    assert [got.count(k) for k in range(5)] == even.tolist()
 
 
 def test_histogram_quantile_interpolates(spark):
-    h = spark.createDataFrame([(0, 0), (1, 10), (2, 0), (3, 10)], "bin int, count bigint")
-    got = [binning.histogram_quantile(h, 0.0, 1.0, s).first()["quantile"] for s in (0.25, 0.75)]
-    assert got == [1.5, 3.5]
+    counts = [3, 0, 9, 4, 0, 8]
+    h = spark.createDataFrame(list(enumerate(counts)), "bin int, count bigint")
+    upto = np.cumsum(counts)
+    for share in (0.1, 0.4, 0.5, 0.9):
+        want = 2.0 + 0.5 * np.interp(share * 24, [0, 3, 3.0000001, 12, 16, 16.0000001, 24], [0, 1, 2, 3, 4, 5, 6])
+        assert binning.histogram_quantile(h, 2.0, 0.5, share).first()["quantile"] == pytest.approx(want, abs=1e-6) and upto[-1] == 24
 
 
 def test_gradient_matches_numpy(spark):
-    x = [0.0, 1.0, 1.5, 3.0, 4.5]
-    y = [v * v for v in x]
+    x = [-2.0, -1.25, 0.5, 0.75, 2.0, 5.0]
+    y = [math.exp(v / 3) for v in x]
     d = binning.gradient(spark.createDataFrame(list(zip(x, y)), "x double, y double"), "x", "y").orderBy("x").toPandas()
     assert np.allclose(d["gradient"], np.gradient(y, x))
 
@@ -117,6 +148,12 @@ def test_energy_identity_of_derived_fields(spark, kind):
     assert np.abs(f.work_full - (f.work_resolved - f.pi + f.s_bar)).max() < 1e-10
 
 
+def test_a_line_with_a_gap_has_no_derivative(spark):
+    d = _line(spark, F.sin, 16)
+    with pytest.raises(Exception, match="missing or repeated"):
+        lattices.fd4(d.where("x <> 3 or y <> 1"), "x", 16, 1.0).collect()
+
+
 def test_blocks_must_divide(spark):
     d = spark.createDataFrame([(0, 0, 0, 1.0)], "x int, y int, z int, v double")
     with pytest.raises(ValueError):

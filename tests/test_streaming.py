@@ -7,11 +7,15 @@ def test_follow_computes_ready_tiles_once_and_again_after_a_change(spark, tmp_pa
 
     def publish(rows):
         spark.createDataFrame(rows, follow.TILE_SCHEMA).coalesce(1).write.mode("append").parquet(tiles)
-        follow.follow(spark, tiles, needs, state).awaitTermination(120)
+        follow.follow(spark, tiles, needs, state, snapshot_every=2).awaitTermination(120)
         return {r["tile"]: r["total"] for r in follow.current(spark, state).collect()}
 
     assert publish([(0, "a", 1.0), (1, "b", 2.0)]) == {0: 3.0}
     assert publish([(2, "c", 4.0)]) == {0: 3.0, 1: 7.0}
-    versions = spark.read.parquet(state + "/results").count()
+    versions = spark.read.parquet(state + "/results/changes").count()
     assert versions == 2
     assert publish([(1, "b2", 5.0)]) == {0: 6.0, 1: 10.0}
+    assert publish([(0, "a", 1.0)]) == {0: 6.0, 1: 10.0}  # nothing changed, so nothing is computed
+    assert spark.read.parquet(state + "/results/changes").count() == 4
+    assert spark.read.parquet(state + "/tiles/snapshots/upto=2").count() == 3
+    assert publish([(2, "c2", 1.0)]) == {0: 6.0, 1: 7.0}
