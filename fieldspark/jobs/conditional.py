@@ -8,7 +8,7 @@ from fieldspark.sources import views
 
 
 def _share(x: str, a: str, b: str) -> str:
-    return f"(CASE WHEN {a} * {b} > 0 THEN (ln(abs({x})) - ln(abs({a}))) / (ln(abs({b})) - ln(abs({a}))) ELSE ({x} - {a}) / ({b} - {a}) END)"
+    return f"coalesce(CASE WHEN {a} * {b} > 0 THEN (ln(abs({x})) - ln(abs({a}))) / nullif(ln(abs({b})) - ln(abs({a})), 0) ELSE ({x} - {a}) / nullif({b} - {a}, 0) END, 0)"
 
 
 def _bin(x: str) -> str:
@@ -34,8 +34,8 @@ def _edges(name: str, plan: str) -> str:
 def _direction(x: str, y: str) -> str:
     return f"""{_plan(f'plan_{x}', 'bag', x)}, {_edges(f'edges_{x}', f'plan_{x}')},
 by_{x} AS (SELECT frame, {_bin(x)} AS bin, count(*) AS c, avg({y}) AS m, quantile_cont({y}, [0.25, 0.75]) AS p FROM bag JOIN plan_{x} USING (frame) GROUP BY ALL),
-rows_{x} AS (SELECT '{y}_given_{x}' AS direction, frame::INTEGER AS frame, bin, region, {_r('l')} AS bin_left, {_r('r')} AS bin_right, {_r('e.c')} AS bin_center, {_r('r - l')} AS bin_width, coalesce(b.c, 0)::BIGINT AS "count",
-  {_r('coalesce(b.c, 0) / total')} AS volume_fraction, {_r('m', 9)} AS conditional_mean, coalesce(b.c, 0) >= 100 AS reliable, {_r('p[1]', 8)} AS range_low, {_r('p[2]', 8)} AS range_high FROM edges_{x} e LEFT JOIN by_{x} b USING (frame, bin))"""
+rows_{x} AS (SELECT '{y}_given_{x}' AS direction, frame::INTEGER AS frame, bin, region, {_r('(l) + 1e-12', 9)} AS bin_left, {_r('(r) + 1e-12', 9)} AS bin_right, {_r('(e.c) + 1e-12', 9)} AS bin_center, {_r('(r - l) + 1e-12', 9)} AS bin_width, coalesce(b.c, 0)::BIGINT AS "count",
+  {_r('coalesce(b.c, 0) / total')} AS volume_fraction, {_r('(m) + 1e-12', 9)} AS conditional_mean, coalesce(b.c, 0) >= 100 AS reliable, {_r('p[1]', 8)} AS range_low, {_r('p[2]', 8)} AS range_high FROM edges_{x} e LEFT JOIN by_{x} b USING (frame, bin))"""
 
 
 _BOTH = f"{_direction('u2', 'q')}, {_direction('q', 'u2')}, both_ways AS (SELECT * FROM rows_u2 UNION ALL SELECT * FROM rows_q)"

@@ -15,17 +15,26 @@ BINS = 2 * TAILS + CENTRE
 
 
 def tail_plan(points: DataFrame, value: str, outer: float = 0.025) -> DataFrame:
-    """One row per frame: lo, lower, upper, hi of a value, `outer` of the points lying in each tail; ranges without a width are an error."""
+    """One row per frame: lo, lower, upper, hi of a value, `outer` of the points lying in each tail.
+
+    A centre without a width is an error; a tail without one holds only points at the extreme itself.
+    """
     p = exact_percentiles(points, "frame", value, [0.0, outer, 1 - outer, 1.0])
     plan = p.select("frame", *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("lo", "lower", "upper", "hi"))])
-    if plan.where("not (lo < lower and lower < upper and upper < hi)").count():
-        raise ValueError(f"{value} has a tail or a centre without a width")
+    if plan.where("not lower < upper").count():
+        raise ValueError(f"{value} has a centre without a width")
     return plan
 
 
+def off_ties(c: Column) -> Column:
+    """Nine digits of a value that may lie half way between two such numbers: a nudge beyond the sums' noise decides for all engines."""
+    return clean(c + 1e-12, 9)
+
+
 def _share(x: Column, a: Column, b: Column) -> Column:
-    """Where x lies between a and b: by ratio if both have one sign, else by difference."""
-    return F.when(a * b > 0, (F.ln(F.abs(x)) - F.ln(F.abs(a))) / (F.ln(F.abs(b)) - F.ln(F.abs(a)))).otherwise((x - a) / (b - a))
+    """Where x lies between a and b: by ratio if both have one sign, else by difference; 0 where they are equal."""
+    by_ratio = ratio(F.ln(F.abs(x)) - F.ln(F.abs(a)), F.ln(F.abs(b)) - F.ln(F.abs(a)))
+    return F.coalesce(F.when(a * b > 0, by_ratio).otherwise(ratio(x - a, b - a)), F.lit(0.0))
 
 
 def _edge(i: Column, n: int, a: Column, b: Column, geometric: bool) -> Column:
@@ -71,8 +80,8 @@ def conditional_both(points: DataFrame, x: str, y: str, least: int = 100, covera
         # Rows here are bins: frames times BINS.
         rows = bin_edges(plan).join(by, ["frame", "bin"], "left").join(F.broadcast(ranges), "key", "left").join(F.broadcast(sizes), "frame")
         rows = rows.select(
-            F.lit(f"{of}_given_{given}").alias("direction"), "frame", "bin", "region", *[clean(F.col(c)).alias(c) for c in ("bin_left", "bin_right", "bin_center", "bin_width")],
-            F.coalesce("count", F.lit(0)).alias("count"), clean(F.coalesce("count", F.lit(0)) / F.col("n")).alias("volume_fraction"), clean(F.col("m"), 9).alias("conditional_mean"),
+            F.lit(f"{of}_given_{given}").alias("direction"), "frame", "bin", "region", *[off_ties(F.col(c)).alias(c) for c in ("bin_left", "bin_right", "bin_center", "bin_width")],
+            F.coalesce("count", F.lit(0)).alias("count"), clean(F.coalesce("count", F.lit(0)) / F.col("n")).alias("volume_fraction"), off_ties(F.col("m")).alias("conditional_mean"),
             (F.coalesce("count", F.lit(0)) >= least).alias("reliable"), clean(F.get("p", F.lit(0)), 8).alias("range_low"), clean(F.get("p", F.lit(1)), 8).alias("range_high"))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -50,7 +50,7 @@ def test_places_must_agree(spark):
             gates.joined_by_place(left, wrong, ["id"]).collect()
 
 
-def test_tails_without_width_are_errors(spark):
+def test_a_centre_without_width_is_an_error(spark):
     d = bag(spark, [1.0] * 50)
     with pytest.raises(ValueError):
         tails.tail_plan(d, "q")
