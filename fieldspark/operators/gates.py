@@ -34,8 +34,8 @@ def _closed(name: str, left: Column, right: Column, size: Column, tolerance: flo
 def closures(points: DataFrame, tolerance: float = 1e-9) -> DataFrame:
     """Partition checks, one row each: the regimes against the whole for every field, both signs of pi against its sum, directions against counts.
 
-    Input that is not finite is an error.  All sums come from one grouped pass; the whole is summed
-    apart from the regimes.
+    Input that is not finite is an error.  Regimes are one grouped pass; the whole is summed apart from
+    them, in a second one, or the comparison would say nothing.
     """
     d = require_finite(points, "pi", "s_bar", "work_full", "work_resolved").withColumn("delta_w", F.col("work_full") - F.col("work_resolved")).withColumn("regime", sign_regime())
     pi, zero = F.col("pi"), F.lit(0.0)

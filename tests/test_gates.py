@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldspark.functions import scalar
-from fieldspark.operators import gates, grids, regimes, tails
+from fieldspark.operators import gates, grids, tails
 
 BAG = "work_full double, work_resolved double, pi double, s_bar double, q double, u2 double, frame int"
 
@@ -67,7 +67,6 @@ def test_sampled_indices_and_limits():
     assert grids.sampled_indices(10, 4, [5]) == [0, 4, 5, 8, 9]
     with pytest.raises(ValueError):
         grids.sampled_indices(10, 4, [10])
-    assert grids.nice_limits(-0.93, 4.1) == (-1.0, 5.0, 2.0) or grids.nice_limits(-0.93, 4.1)[2] in (1, 2)
     for lo, hi in ((-0.93, 4.1), (12.0, 12.0), (1e-7, 3e-6), (0.0, 1000.0)):
         a, b, step = grids.nice_limits(lo, hi)
         assert a <= lo and b >= hi and round(step / 10 ** math.floor(math.log10(step) + 1e-9)) in (1, 2, 5)
@@ -89,4 +88,4 @@ def test_scalar_helpers(spark):
     assert [r["l"] for r in got] == pytest.approx([math.copysign(math.log1p(abs(s) / 0.5), s) if s else 0.0 for s in (-3.0, 0.0, 0.5, 12.25)])
     assert [r["t"] for r in got] == ["m3p0", "0p0", "0p5", "12p25"]
     r = spark.range(1).select(scalar.safe_ratio(F.lit(0.0), F.lit(0.0)).alias("a"), scalar.safe_ratio(F.lit(2.0), F.lit(0.0)).alias("b"), grids.physical_time(F.lit(5), 0.25).alias("t")).first()
-    assert (r["a"], r["b"], r["t"]) == (0.0, None, 1.0) and regimes.REGIMES[0] == "1+"
+    assert (r["a"], r["b"], r["t"]) == (0.0, None, 1.0)
