@@ -34,8 +34,8 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Unicode white space, and the pre-tokenizer's pattern with it spelt out.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Entries of a worker's tables before they are cleared.
-CHUNKS, WORDS, ARCS = 150_000, 50_000, 500_000
+#: Entries of a worker's tables before they are cleared; a ready-made encoder needs fewer parts kept.
+CHUNKS, READY_CHUNKS, WORDS, ARCS = 400_000, 150_000, 100_000, 500_000
 #: Longest part, in characters, that a table keeps; longer ones are encoded each time.
 LONGEST = 64
 #: Characters of texts that are split together.
@@ -203,7 +203,7 @@ class Codec:
         self._rare = regex.compile(r"[\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self._apart = regex.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
         self._words = _Table(lambda w: self.automaton.encode(w.encode()), WORDS)
-        self._chunks = _Table(self._chunk, CHUNKS)
+        self._chunks = _Table(self._chunk, READY_CHUNKS if ready else CHUNKS)
         if ready:
             import tiktoken
 
