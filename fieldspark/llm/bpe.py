@@ -8,8 +8,8 @@ A state keeps only what its gadget changed (its parent, the arc taken away, its
 50,000 merges compile in a moment; arcs are looked up once and then kept in a table.
 
 A pre-split word has exactly one accepted token sequence.  Encoding walks the table with
-the longest token first and steps back where no arc leads on; decoding emits the labels of
-the arcs.
+the longest token first, found through a trie, and steps back where no arc leads on;
+decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -64,8 +65,18 @@ class Automaton:
         self.copies: dict[int, list[int]] = {}
         for rank, merge in enumerate(merges):
             self._gadget(rank, *merge)
-        #: Every beginning of a token, with the token's id or -1.
-        self.starts = {b[:k]: -1 for b in self.token for k in range(1, len(b))} | self.token
+        # A trie finds how far a word follows a token (a character stands for a byte); `longest`
+        # has the longest token that begins each such beginning, `shorter` the next shorter one.
+        self.trie, self.longest = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), {"": -1}
+        self.sizes, self.shorter = ([0] * (max(labels, default=-1) + 1) for _ in range(2))
+        for label, token in sorted(self.token.items()):
+            letters = label.decode("latin-1")
+            self.trie.add_word(letters)
+            self.sizes[token] = len(letters)
+            for k in range(1, len(letters)):
+                self.longest.setdefault(letters[:k], self.longest[letters[: k - 1]])
+            self.shorter[token] = self.longest[letters[:-1]]
+            self.longest[letters] = token
         self.arcs: dict[int, int] = {}
 
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
@@ -96,49 +107,43 @@ class Automaton:
             older = bisect_right(self.births[owner], made)
             state = self.copies[owner][older - 1] if older else self.base[owner]
 
-    def step(self, state: int, token: int) -> int:
-        """The next state, or -1."""
-        key = state << 20 | token
-        if (to := self.arcs.get(key)) is None:
-            if len(self.arcs) > ARCS:
-                self.arcs.clear()
-            to = self.arcs[key] = self.leads[token] if self.has_arc(state, token) else -1
+    def _arc(self, state: int, token: int) -> int:
+        """Looks an arc up through the gadgets and keeps it: the next state, or -1."""
+        if len(self.arcs) > ARCS:
+            self.arcs.clear()
+        to = self.arcs[state << 20 | token] = self.leads[token] if self.has_arc(state, token) else -1
         return to
 
     def encode(self, word: bytes) -> list[int]:
-        """Token ids of a pre-split word."""
+        """Token ids of a pre-split word, which has one byte at least."""
         if (whole := self.token.get(word)) is not None and self.has_arc(0, whole):
             return [whole]
-        step = self.step
-        end, at, ids, dead = len(word), 0, [], set()
-        states, left = [0], [self._matches(word, 0)]
-        while at < end:
-            options, state = left[-1], states[-1]
-            while options:
-                to_at, token = options.pop()
-                if to_at not in dead and (to := step(state, token)) >= 0:
-                    ids.append(token)
-                    states.append(to)
-                    at = to_at
-                    if at < end:
-                        left.append(self._matches(word, at))
-                    break
+        arcs, sizes, shorter, depth, longest = self.arcs, self.sizes, self.shorter, self.trie.longest_prefix, self.longest
+        letters, end, at, state = word.decode("latin-1"), len(word), 0, 0
+        ids, states, dead = [], [], set()
+        token = longest[letters[: depth(letters)]]
+        while True:
+            while token >= 0:
+                to_at = at + sizes[token]
+                if to_at not in dead:
+                    if (to := arcs.get(state << 20 | token)) is None:
+                        to = self._arc(state, token)
+                    if to >= 0:
+                        break
+                token = shorter[token]
             else:
                 dead.add(at)
-                states.pop()
-                left.pop()
-                at -= len(self.label(ids.pop()))
-        return ids
-
-    def _matches(self, word: bytes, at: int) -> list[tuple[int, int]]:
-        """Tokens that start at a place, as (end, id), the longest last."""
-        found = []
-        for stop in range(at + 1, len(word) + 1):
-            if (token := self.starts.get(word[at:stop])) is None:
-                break
-            if token >= 0:
-                found.append((stop, token))
-        return found
+                state, token = states.pop(), ids.pop()
+                at -= sizes[token]
+                token = shorter[token]
+                continue
+            ids.append(token)
+            if to_at == end:
+                return ids
+            states.append(state)
+            state, at = to, to_at
+            rest = letters[at:]
+            token = longest[rest[: depth(rest)]]
 
     def label(self, token: int) -> bytes:
         return self.labels[token]
@@ -202,7 +207,7 @@ class Codec:
         self._split = regex.compile(SPLIT)
         self._rare = regex.compile(r"[\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
         self._apart = regex.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
-        self._words = _Table(lambda w: self.automaton.encode(w.encode()), WORDS)
+        self._words = _Table(self._word, WORDS)
         self._chunks = _Table(self._chunk, READY_CHUNKS if ready else CHUNKS)
         if ready:
             import tiktoken
@@ -220,8 +225,11 @@ class Codec:
         pa.default_memory_pool().release_unused()
 
     def _chunk(self, chunk: str) -> bytes:
-        words = self._words
-        return array("I", [i for w in self._split.findall(chunk) for i in words[w]]).tobytes()
+        parts = self._split.findall(chunk)
+        return self._word(chunk) if len(parts) == 1 else b"".join([self._words[p] for p in parts])
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.automaton.encode(word.encode())).tobytes()
 
     def _plain(self, text: str) -> bool:
         """Whether each white space beside a space, and each special token, is certainly absent."""
