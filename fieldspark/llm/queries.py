@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fieldspark.llm.bpe import op8_bpe
 from fieldspark.llm.chat import op9_chat
+from fieldspark.llm.divergence import OP12_SQL, op12_divergence
 from fieldspark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from fieldspark.llm.language_id import op2_language
 from fieldspark.llm.packing import op4_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
+    "op12_divergence": op12_divergence,
 }
 
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op12_divergence": OP12_SQL}
