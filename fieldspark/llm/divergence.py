@@ -52,7 +52,7 @@ def _living(run: pa.RecordBatch, before: int, bits: np.ndarray | None):
     langs, lang_of = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     if bits is not None and len(rows):
         number, prefixes = _cut(terms, before)
-        pairs, where = np.unique(lang_of[rows] * len(prefixes) + number[ids], return_inverse=True)
+        pairs, _, where = words.distinct(lang_of[rows] * len(prefixes) + number[ids])
         keep = _alive(bits, langs, prefixes, pairs)[where]
         rows, ids = rows[keep], ids[keep]
     return rows, ids, terms, langs, lang_of
@@ -68,8 +68,8 @@ def _prefix_documents(docs: DataFrame, length: int, before: int, bits) -> DataFr
                 if not len(rows):
                     continue
                 number, prefixes = _cut(terms, length)
-                held = np.unique(rows * len(prefixes) + number[ids])  # once for each document
-                pairs, docs_of = np.unique(lang_of[held // len(prefixes)] * len(prefixes) + held % len(prefixes), return_counts=True)
+                held, _, _ = words.distinct(rows * len(prefixes) + number[ids])  # once for each document
+                pairs, docs_of, _ = words.distinct(lang_of[held // len(prefixes)] * len(prefixes) + held % len(prefixes))
                 names = pa.array(langs, pa.string()).take(pa.array(pairs // len(prefixes)))
                 yield pa.RecordBatch.from_arrays([names, prefixes.take(pa.array(pairs % len(prefixes))), pa.array(docs_of)], ["lang", "prefix", "docs"])
 
@@ -105,13 +105,13 @@ def frequent_terms(docs: DataFrame, least: int = 10, levels: tuple[int, ...] = (
                     continue
                 coded = run.column("source").dictionary_encode()
                 sources, source_of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                held, times = np.unique(rows * len(terms) + ids, return_counts=True)
+                held, times, _ = words.distinct(rows * len(terms) + ids)
                 row, term = held // len(terms), held % len(terms)
-                keys, where = np.unique((lang_of[row] * len(sources) + source_of[row]) * len(terms) + term, return_inverse=True)
+                keys, docs_of, where = words.distinct((lang_of[row] * len(sources) + source_of[row]) * len(terms) + term)
                 group = keys // len(terms)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(langs, pa.string()).take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources))), terms.take(pa.array(keys % len(terms))),
-                     pa.array(np.bincount(where, minlength=len(keys)).astype(np.int64)), pa.array(np.bincount(where, times, len(keys)).astype(np.int64))],
+                     pa.array(docs_of.astype(np.int64)), pa.array(np.bincount(where, times, len(keys)).astype(np.int64))],
                     ["lang", "source", "term", "docs", "n"])
 
     counted = docs.select("lang", "source", "text").mapInArrow(batches, "lang string, source string, term string, docs bigint, n bigint")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from fieldspark.llm.common import runs_of_rows
 
 #: Characters of one run of texts.
-RUN_CHARS = 1 << 24
+RUN_CHARS = 1 << 22
 
 
 def lowered(separators: bytes | None = None) -> bytes:
@@ -41,6 +42,12 @@ def split(texts: pa.Array, table: bytes) -> tuple[np.ndarray, np.ndarray, pa.Arr
     return rows, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.cast(pa.string())
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order of appearance, how often each occurs, and the number of each key; by hashing, not sorting."""
+    number, found = pd.factorize(keys)
+    return found, np.bincount(number, minlength=len(found)), number
+
+
 def runs(batch: pa.RecordBatch, text: str, most: int = RUN_CHARS):
     """Slices of a batch of at most `most` bytes of text each, or one row."""
     sizes = pc.binary_length(batch.column(text)).to_pylist()
