@@ -9,6 +9,7 @@ from fieldspark.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from fieldspark.llm.language_id import op2_language
 from fieldspark.llm.packing import op4_packing
 from fieldspark.llm.pii import op6_pii
+from fieldspark.llm.pitman_yor import op13_pitman_yor
 from fieldspark.llm.prefix_trie import op11_prefix_trie
 from fieldspark.llm.secrets import op10_secrets
 from fieldspark.llm.simhash import op1_simhash
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_divergence": op12_divergence,
+    "op13_pitman_yor": op13_pitman_yor,
 }
 
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op12_divergence": OP12_SQL}
