@@ -86,7 +86,7 @@ def _bitmap(frequent: DataFrame, size: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def frequent_terms(docs: DataFrame, least: int = 10, levels: tuple[int, ...] = (3, 6, 9), map_bits: int = MAP_BITS) -> DataFrame:
+def frequent_terms(docs: DataFrame, least: int = 10, levels: tuple[int, ...] = (4, 8), map_bits: int = MAP_BITS) -> DataFrame:
     """lang, term, lang_count, by: each term that at least `least` documents of a language hold, and its counts by source.
 
     docs: lang, source, text without nulls; each row is a document.  by: array of (source, count).
@@ -99,7 +99,7 @@ def frequent_terms(docs: DataFrame, least: int = 10, levels: tuple[int, ...] = (
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for run in words.runs(batch, "text"):
+            for run in words.runs(batch, "text", 2 * words.RUN_CHARS):
                 rows, ids, terms, langs, lang_of = _living(run, before, bits.value if bits else None)
                 if not len(rows):
                     continue
@@ -164,7 +164,7 @@ def _pair_sums(terms: DataFrame, entries: int = 1 << 21) -> DataFrame:
     return terms.mapInArrow(batches, "lang string, i int, j int, value bigint").groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
 
 
-def divergence(docs: DataFrame, least: int = 10, top: int = 10, levels: tuple[int, ...] = (3, 6, 9), map_bits: int = MAP_BITS) -> DataFrame:
+def divergence(docs: DataFrame, least: int = 10, top: int = 10, levels: tuple[int, ...] = (4, 8), map_bits: int = MAP_BITS) -> DataFrame:
     """lang, source, part, item, value, rank: how far the sources of each language are apart.
 
     Null text, lang and source count as ''.  A term is a run of letters (ASCII letters and all beyond
