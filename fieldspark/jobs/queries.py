@@ -362,4 +362,4 @@ def flux_ladder(spark, sf_dir):
                  clean(F.sqrt(F.avg(F.col("divergence") ** 2))).alias("divergence_rms"), clean(F.avg((F.col("pi") < 0).cast("double"))).alias("forward_fraction"))
 
 
-from fieldspark.jobs import conditional, gates, grids  # noqa: E402, F401  (they register their own queries)
+from fieldspark.jobs import conditional, gates, geometry, grids  # noqa: E402, F401  (they register their own queries)
