@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from fieldspark.functions.scalar import clean
 from fieldspark.jobs.grids import _LAT, _lattice
 from fieldspark.jobs.registry import _r, query
-from fieldspark.operators import halo, surfaces
+from fieldspark.operators import halo, long_lattice, surfaces
+from fieldspark.operators.long_lattice import Gain
 
 _BLOCK = {"z": 7, "y": 4, "x": 3}  # ragged along all axes
 _STEPS = "(VALUES (-2, 1e0), (-1, -8e0), (1, 8e0), (2, -1e0)) s(k, w)"
@@ -61,3 +64,31 @@ def tile_hash_tree(spark, sf_dir):
     d, _ = _lattice(spark, sf_dir)
     leaves = halo.tile_hashes(d, {"z": 8, "y": 4, "x": 4}, text=F.format_string("%.2f", "v"))
     return halo.hash_tree(leaves)
+
+
+_WIDTH = 1.5
+_TURN = f"{2 * math.pi!r}"
+
+
+def _kernels(axis: str, n: str) -> str:
+    """soft and slope of a periodic axis of n points as sums over its waves: what a point d steps back adds."""
+    k = f"(CASE WHEN 2 * k > {n} THEN k - {n} ELSE k END)"
+    return f"""k_{axis} AS MATERIALIZED (SELECT d, sum(exp(-5e-1 * pow({_WIDTH} * {_TURN} * {k} / {n}, 2)) * cos({_TURN} * k * d / {n})) / any_value({n}) AS soft,
+  -sum(CASE WHEN 2 * k = {n} THEN 0 ELSE {k} END * sin({_TURN} * k * d / {n})) / any_value({n}) AS slope FROM size, (SELECT unnest(range({n})) AS k FROM size), (SELECT unnest(range({n})) AS d FROM size) GROUP BY d)"""
+
+
+def _along(axis: str, n: str, source: str, kernel: str, column: str, out: str) -> str:
+    others = ", ".join(f"s.{a}" for a in "zyx" if a != axis)
+    return f"SELECT {others}, r.i::INTEGER AS {axis}, sum({kernel} * s.{column}) AS {out} FROM {source} s, size, (SELECT unnest(range({n})) AS i FROM size) r JOIN k_{axis} ON d = (r.i - s.{axis} + {n}) % {n} GROUP BY {others}, r.i"
+
+
+@query(f"""{_LAT}, {_kernels('x', '10')}, {_kernels('y', '10')}, {_kernels('z', 'nz')},
+sx AS MATERIALIZED ({_along('x', '10', 'lattice', 'soft', 'v', 'v')}), sy AS MATERIALIZED ({_along('y', '10', 'sx', 'soft', 'v', 'v')}), sz AS ({_along('z', 'nz', 'sy', 'soft', 'v', 'soft')}),
+dx AS ({_along('x', '10', 'lattice', 'slope', 'v', 'gx')}), dy AS ({_along('y', '10', 'lattice', 'slope', 'v', 'gy')}), dz AS ({_along('z', 'nz', 'lattice', 'slope', 'v', 'gz')})
+SELECT x, y, z, v, {', '.join(f'{_r(c, 1)} AS {c}' for c in ('soft', 'gx', 'gy', 'gz'))} FROM lattice JOIN sz USING (x, y, z) JOIN dx USING (x, y, z) JOIN dy USING (x, y, z) JOIN dz USING (x, y, z)""")
+def lattice_spectra(spark, sf_dir):
+    """A Gaussian filter and the spectral gradient of a lattice with sides of different lengths, beside its values, in three shuffles."""
+    d, n = _lattice(spark, sf_dir)
+    wanted = {"soft": Gain("v", None, "gaussian", _WIDTH), **{f"g{a}": Gain("v", a) for a in "xyz"}}
+    out = long_lattice.spectral_columns(d, {a: n[a] for a in "xyz"}, wanted, carry=["v"])
+    return out.select("x", "y", "z", "v", *[clean(F.col(c), 1).alias(c) for c in wanted])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
@@ -132,12 +133,15 @@ _TOP = "(k * (z2 * l2 - z3 * l1) - z1 * (z1 * l2 - z3 * l0) + z2 * (z1 * l1 - z2
 
 
 @query(_bag(f"""d AS (SELECT CASE WHEN pi < 0 THEN 'forward' ELSE 'backscatter' END AS branch, abs(pi) AS w, log10(abs(pi) / 3e0) AS y FROM bag WHERE pi <> 0),
-m AS (SELECT branch, sum(w*y) / sum(w) AS mu, sqrt(sum(w*y*y) / sum(w) - pow(sum(w*y) / sum(w), 2)) AS sd FROM d GROUP BY branch),
+mm AS (SELECT branch, {', '.join(f'sum(w * pow(y, {k})) / sum(w) AS m{k}' for k in (1, 2, 3, 4))} FROM d GROUP BY branch),
+m AS (SELECT branch, m1 AS mu, sqrt(m2 - m1 * m1) AS sd, (m3 - 3 * m1 * m2 + 2 * pow(m1, 3)) / pow(m2 - m1 * m1, 15e-1) AS skew, (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * pow(m1, 4)) / pow(m2 - m1 * m1, 2) - 3 AS kurt FROM mm),
 b AS (SELECT branch, least(floor((y + 5) / {_W}::double), 39)::INTEGER AS bin, sum(w) AS w FROM d WHERE y BETWEEN -5 AND 1 GROUP BY ALL),
 c AS (SELECT branch, bin, w, sum(w) OVER (PARTITION BY branch ORDER BY bin) AS c, sum(w) OVER (PARTITION BY branch) AS t FROM b),
+qb AS (SELECT branch, mu, sd, z, min(bin) AS bin FROM c JOIN m USING (branch), (VALUES {', '.join(f'({p}::double, {NormalDist().inv_cdf(p)!r}::double)' for p in grids.QQ_SHARES)}) x(p, z) WHERE c >= p * t GROUP BY ALL),
+qq AS (SELECT branch, 1 - sum(pow(q - mu - sd * z, 2)) / (count(*) * var_pop(q)) AS qq FROM (SELECT *, -5 + (bin + 0.5::double) * {_W}::double AS q FROM qb) GROUP BY branch),
 r AS (SELECT branch, mu, sd, c / t AS f, w / t / {_W}::double AS h, {_cdf_sql(f'(-5 + (bin + 1) * {_W}::double)')} AS n, exp(-0.5 * pow((-5 + (bin + 0.5::double) * {_W}::double - mu) / sd, 2)) / (sd * {math.sqrt(2 * math.pi)!r}) AS g, (-5 + (bin + 0.5::double) * {_W}::double - mu) / sd AS z FROM c JOIN m USING (branch)),
 s AS (SELECT branch, any_value(mu) AS mu, any_value(sd) AS sd, count(*) AS k, max(abs(f - n)) AS worst, sqrt(avg((f - n) * (f - n))) AS rms, sum((h - g) * (h - g)) AS off, var_pop(h) AS spread, {', '.join(f'sum(pow(z, {k})) AS z{k}' for k in (1, 2, 3, 4))}, {', '.join(f'sum(ln(h) * pow(z, {k})) AS l{k}' for k in (0, 1, 2))} FROM r WHERE f BETWEEN 0.005 AND 0.995 GROUP BY branch)
-SELECT branch, {_r('mu')} AS mean, {_r('sd')} AS deviation, k AS core_bins, {_r('worst')} AS cdf_max_error, {_r('rms')} AS cdf_rms_error, {_r('1 - off / nullif(k * spread, 0)')} AS pdf_r2, {_r(f'2 * {_TOP} / nullif({_DET}, 0)', 4)} AS curvature FROM s"""))
+SELECT branch, {_r('s.mu')} AS mean, {_r('s.sd')} AS deviation, {_r('skew')} AS skewness, {_r('kurt')} AS excess_kurtosis, {_r('qq')} AS qq_r2, k AS core_bins, {_r('worst')} AS cdf_max_error, {_r('rms')} AS cdf_rms_error, {_r('1 - off / nullif(k * spread, 0)')} AS pdf_r2, {_r(f'2 * {_TOP} / nullif({_DET}, 0)', 4)} AS curvature FROM s JOIN m USING (branch) JOIN qq USING (branch)"""))
 def log_normality(spark, sf_dir):
     return grids.log_normality(views.bag_of_points(spark, sf_dir), "pi", 3.0, -5.0, 1.0, 40)
 

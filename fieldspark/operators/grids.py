@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,37 +146,54 @@ def normal_cdf(x: Column, mean: Column, deviation: Column) -> Column:
     return (1 + erf) / 2
 
 
+#: Shares of the quantiles that are compared with normal ones.
+QQ_SHARES = (0.01, 0.05, 0.5, 0.95, 0.99)
+
+
 def log_normality(points: DataFrame, value: str, scale: float, lo: float, hi: float, bins: int) -> DataFrame:
     """How normal log10(|value| / scale), weighted by |value|, is in each sign branch; zeros belong to none.
 
     mean and deviation from weighted moments of all points; over the bins whose upper edge has 0.5 to
     99.5 % below it: the largest and the rms error of the distribution function, R2 of the density
-    (bin middles), and the curvature of a parabola through the logarithm of the density.
+    (bin middles), and the curvature of a parabola through the logarithm of the density.  skewness and
+    excess_kurtosis from weighted moments of all points; qq_r2: how the middles of the bins that hold the
+    weighted quantiles of QQ_SHARES lie on the normal quantiles.
     """
     v, y = F.col(value), F.col("y")
     d = points.where(v != 0).select(F.when(v < 0, "forward").otherwise("backscatter").alias("branch"), F.abs(v).alias("w"), F.log10(F.abs(v) / scale).alias("y"))
     width = (hi - lo) / bins
     place = F.when((y >= lo) & (y <= hi), F.least(F.floor((y - lo) / width), F.lit(bins - 1)).cast("int"))
-    by = d.groupBy("branch", place.alias("bin")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * y).alias("wy"), F.sum(F.col("w") * y * y).alias("wyy"))
+    by = d.groupBy("branch", place.alias("bin")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * y).alias("wy"), *[F.sum(F.col("w") * F.pow(y, F.lit(float(k)))).alias(f"w{k}") for k in (2, 3, 4)])
     # From here on rows are bins: two branches times `bins`.
     own = Window.partitionBy("branch")
     upto = own.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     inside = F.sum(F.when(F.col("bin").isNotNull(), F.col("w"))).over(own)
-    m = F.sum("wy").over(own) / F.sum("w").over(own)
-    rows = by.select("branch", "bin", "w", m.alias("mu"), F.sqrt(F.sum("wyy").over(own) / F.sum("w").over(own) - m * m).alias("sd"), inside.alias("inside"), F.sum(F.when(F.col("bin").isNotNull(), F.col("w"))).over(upto).alias("c")).where("bin is not null")
+    mean = lambda c: F.sum(c).over(own) / F.sum("w").over(own)
+    m, m2, m3, m4 = mean("wy"), mean("w2"), mean("w3"), mean("w4")
+    spread = m2 - m * m
+    rows = by.select("branch", "bin", "w", m.alias("mu"), F.sqrt(spread).alias("sd"), ratio(m3 - 3 * m * m2 + 2 * m * m * m, F.pow(spread, F.lit(1.5))).alias("skew"),
+                     (ratio(m4 - 4 * m * m3 + 6 * m * m * m2 - 3 * m * m * m * m, spread * spread) - 3).alias("kurt"),
+                     inside.alias("inside"), F.sum(F.when(F.col("bin").isNotNull(), F.col("w"))).over(upto).alias("c")).where("bin is not null")
+    # Quantiles: for each share the first bin up to which the weight reaches it.
+    shares = F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.lit(NormalDist().inv_cdf(s)).alias("z")) for s in QQ_SHARES]))
+    held = rows.where("w > 0").select("branch", "mu", "sd", "bin", "c", "inside", shares.alias("q")).where(F.col("c") >= F.col("q.share") * F.col("inside"))
+    held = held.groupBy("branch", "q.z").agg(F.min("bin").alias("bin"), F.first("mu").alias("mu"), F.first("sd").alias("sd"))
+    at = lo + (F.col("bin") + F.lit(0.5)) * width
+    qq = held.groupBy(F.col("branch").alias("of")).agg((1 - ratio(F.sum((at - F.col("mu") - F.col("sd") * F.col("z")) ** 2), F.count(F.lit(1)) * F.var_pop(at))).alias("qq"))
     mu, sd, right = F.col("mu"), F.col("sd"), lo + (F.col("bin") + 1) * width
     middle = lo + (F.col("bin") + F.lit(0.5)) * width
-    rows = rows.select("branch", "mu", "sd", (F.col("c") / F.col("inside")).alias("f"), (F.col("w") / F.col("inside") / width).alias("h"), normal_cdf(right, mu, sd).alias("n"), normal_pdf(middle, mu, sd).alias("g"), ((middle - mu) / sd).alias("z"))
+    rows = rows.select("branch", "mu", "sd", "skew", "kurt", (F.col("c") / F.col("inside")).alias("f"), (F.col("w") / F.col("inside") / width).alias("h"), normal_cdf(right, mu, sd).alias("n"), normal_pdf(middle, mu, sd).alias("g"), ((middle - mu) / sd).alias("z"))
     core = rows.where("f >= 0.005 and f <= 0.995")
     z, l = F.col("z"), F.ln("h")
-    s = core.groupBy("branch", "mu", "sd").agg(
+    s = core.groupBy("branch", "mu", "sd", "skew", "kurt").agg(
         F.count(F.lit(1)).alias("k"), F.max(F.abs(F.col("f") - F.col("n"))).alias("worst"), F.sqrt(F.avg((F.col("f") - F.col("n")) ** 2)).alias("rms"), F.sum((F.col("h") - F.col("g")) ** 2).alias("off"), F.var_pop("h").alias("spread"),
         *[F.sum(F.pow(z, F.lit(float(k)))).alias(f"z{k}") for k in (1, 2, 3, 4)], *[F.sum(l * F.pow(z, F.lit(float(k)))).alias(f"l{k}") for k in (0, 1, 2)])
     c = F.col
     # The parabola's leading coefficient by Cramer's rule on the normal equations.
     det = c("k") * (c("z2") * c("z4") - c("z3") ** 2) - c("z1") * (c("z1") * c("z4") - c("z2") * c("z3")) + c("z2") * (c("z1") * c("z3") - c("z2") ** 2)
     top = c("k") * (c("z2") * c("l2") - c("z3") * c("l1")) - c("z1") * (c("z1") * c("l2") - c("z3") * c("l0")) + c("z2") * (c("z1") * c("l1") - c("z2") * c("l0"))
-    return s.select("branch", clean(c("mu")).alias("mean"), clean(c("sd")).alias("deviation"), c("k").alias("core_bins"), clean(c("worst")).alias("cdf_max_error"), clean(c("rms")).alias("cdf_rms_error"),
+    s = s.join(F.broadcast(qq), c("branch") == c("of"), "left")  # two rows
+    return s.select("branch", clean(c("mu")).alias("mean"), clean(c("sd")).alias("deviation"), clean(c("skew")).alias("skewness"), clean(c("kurt")).alias("excess_kurtosis"), clean(c("qq")).alias("qq_r2"), c("k").alias("core_bins"), clean(c("worst")).alias("cdf_max_error"), clean(c("rms")).alias("cdf_rms_error"),
                     clean(1 - ratio(c("off"), c("k") * c("spread"))).alias("pdf_r2"), clean(2 * ratio(top, det), 4).alias("curvature"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions.scalar import clean, ratio
 from fieldspark.operators.binning import histogram_quantile
 from fieldspark.operators.events import scaled, with_angles
-from fieldspark.operators.stats import exact_percentiles
+from fieldspark.operators.stats import beside, exact_percentiles, exact_percentiles_of
 
 TAILS, CENTRE = 20, 60
 BINS = 2 * TAILS + CENTRE
@@ -197,7 +197,6 @@ def near_zero_features(vectors: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("count"), *[clean(F.avg(c.cast("double"))).alias(k) for k, c in features.items()],
         *[clean(F.avg(c)).alias(n) for n, c in (("speed2_mean", F.col("speed") ** 2), ("gradient2_mean", F.col("gradient") ** 2), ("cos_mean", F.col("cos")), ("amplitude_mean", F.col("amplitude")))],
         clean(F.sqrt(F.avg(F.col("cos") ** 2))).alias("cos_rms"), F.count_if(F.col("q") == 0).alias("zero_power"), F.count_if(F.col("u2") == 0).alias("zero_velocity"), F.count_if(F.col("g2") == 0).alias("zero_gradient"))
-    for c in ("speed", "gradient", "cos"):
-        p = exact_percentiles(each, "population", c, [0.25, 0.5, 0.75])
-        by = by.join(F.broadcast(p), "population", "left").select(*by.columns, *[clean(F.get("p", F.lit(k))).alias(f"{c}_p{n}") for k, n in enumerate((25, 50, 75))])  # five rows
-    return by
+    p = exact_percentiles_of(each, "population", ["speed", "gradient", "cos"], [0.25, 0.5, 0.75])
+    wide = p.groupBy("population").agg(*[clean(F.get(F.max(F.when(F.col("column") == c, F.col("p"))), F.lit(k))).alias(f"{c}_p{n}") for c in ("speed", "gradient", "cos") for k, n in enumerate((25, 50, 75))])
+    return by.join(beside(wide), "population", "left")  # five rows

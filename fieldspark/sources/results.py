@@ -1,22 +1,25 @@
 """Verified result tables: staged writes with a content hash, manifests, resume, discovery, composites and a ledger: S8, S10-S13, S15, S19, S23, S25, S28-S30, J11, A4, A6, A7, F16, K5, K6.
 
-A result is a folder with `data` (Parquet) and `manifest.json`; the manifest is written last, so a
-result without one is not complete.  Hashes and extremes come from one grouped pass over the rows,
-whatever their order; only the manifest, one row, passes through the driver.
+A result is a folder of versions, each with its rows as Parquet, and `manifest.json`, which names the
+version that holds.  A version is written, read again and compared before the manifest is replaced in one
+rename, so a reader sees the former result or the new one and a write that fails at any step changes
+nothing.  Hashes and extremes come from one grouped pass over the rows, whatever their order, and those
+of the written side from the write itself; only the manifest, one row, passes through the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed value: the layout of a result folder; others are not opened.
-VERSION = 1
-MANIFEST_SCHEMA = "name string, version int, status string, input_hash string, content_hash string, rows bigint, columns array<struct<name:string,type:string>>, parents array<struct<name:string,sha256:string>>, sampling int, note string"
+VERSION = 2
+MANIFEST_SCHEMA = "name string, version int, folder string, status string, input_hash string, content_hash string, rows bigint, columns array<struct<name:string,type:string>>, parents array<struct<name:string,sha256:string>>, sampling int, note string"
 
 
 def lattice_schema(fields: dict[str, T.DataType]) -> T.StructType:
@@ -24,19 +27,29 @@ def lattice_schema(fields: dict[str, T.DataType]) -> T.StructType:
     return T.StructType([*(T.StructField(a, T.IntegerType(), False) for a in "zyx"), *(T.StructField(n, t, True) for n, t in fields.items())])
 
 
-def content_metadata(df: DataFrame) -> dict:
-    """rows, content_hash (of all rows, whatever their order and partitioning) and min, max and non-finite count of each number."""
+def _measures(df: DataFrame) -> list:
+    """What content_metadata is made of, as aggregates of one pass."""
     numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType,))]
-    row = F.xxhash64(*df.columns)
+    # A hash skips nulls, so where they are is hashed too.
+    row = F.xxhash64(*df.columns, *[F.col(f"`{c}`").isNull() for c in df.columns])
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) != float("inf"))
     # Equal rows cancel in the exclusive or; the sum tells how often they occur.
-    r = df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(row).alias("xor"), F.sum(row.cast("decimal(38,0)")).alias("sum"),
-               *[x for c in numbers for x in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.count_if(~finite(c)).alias(f"bad_{c}"))]).first()
-    schema = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
-    return {"rows": r["rows"], "content_hash": hashlib.sha256(f"{schema}|{r['rows']}|{r['xor']}|{r['sum']}".encode()).hexdigest(),
+    return [F.count(F.lit(1)).alias("rows"), F.bit_xor(row).alias("xor"), F.sum(row.cast("decimal(38,0)")).alias("sum"),
+            *[x for c in numbers for x in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.count_if(~finite(c)).alias(f"bad_{c}"))]]
+
+
+def _metadata(schema: T.StructType, r) -> dict:
+    numbers = [f.name for f in schema.fields if isinstance(f.dataType, (T.NumericType,))]
+    kinds = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in schema.fields)
+    return {"rows": r["rows"], "content_hash": hashlib.sha256(f"{kinds}|{r['rows']}|{r['xor']}|{r['sum']}".encode()).hexdigest(),
             "fields": {c: {"min": r[f"min_{c}"], "max": r[f"max_{c}"], "nonfinite": r[f"bad_{c}"]} for c in numbers}}
 
 
+def content_metadata(df: DataFrame) -> dict:
+    """rows, content_hash (of all rows, whatever their order and partitioning) and min, max and non-finite count of each number."""
+    return _metadata(df.schema, df.agg(*_measures(df)).first())
+
+
 def canonical(payload: dict) -> str:
     return json.dumps(payload, sort_keys=True, separators=(",", ":"), default=str)
 
@@ -60,15 +73,19 @@ class Store:
         return fs.exists(p)
 
     def _put(self, path: str, text: str) -> None:
-        """Writes beside the place and renames, so a reader sees the whole text or none."""
+        """Writes beside the place and renames over it, so a reader sees the whole former text or the whole new one."""
         fs, p = self._fs(path)
-        _, part = self._fs(f"{path}.part")
+        _, part = self._fs(f"{path}.part-{uuid.uuid4().hex}")
         out = fs.create(part, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(p, False)
-        if not fs.rename(part, p):
-            raise OSError(f"could not put {path}")
+        self._replace(part, p)
+
+    def _replace(self, part, place) -> None:
+        jvm = self.spark._jvm
+        modes = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        modes[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), self.spark._jsc.hadoopConfiguration()).rename(part, place, modes)
 
     def _get(self, path: str) -> str:
         return self.spark.read.text(path, wholetext=True).first()[0]
@@ -80,28 +97,47 @@ class Store:
     def write(self, df: DataFrame, name: str, input_hash: str = "", parents: tuple[str, ...] = (), sampling: int = 1, note: str = "", partition_by: tuple[str, ...] = ()) -> DataFrame:
         """Writes a result and opens it; one that is complete and has the same input hash is opened as it is.
 
-        Rows are written to a staging folder, read again and compared by content hash, moved into place and
-        only then described.  A run that ends before leaves no manifest, and the next one starts anew.
+        Parents are looked up first.  The rows go to a new version, are read again and compared by content
+        hash, and only then does the manifest name them; until then, and after any failure, the former result
+        is what opens.  The input is computed once: its hash is observed while it is written.
         """
         known = self.manifest(name)
         if known and input_hash and known["input_hash"] == input_hash and known["version"] == VERSION:
             return self.open(name)
-        staging, place = f"{self.root}/.staging-{name}", f"{self.root}/{name}"
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{staging}/data")
-        want, back = content_metadata(df), self.spark.read.schema(df.schema).parquet(f"{staging}/data").select(*df.columns)
-        found = content_metadata(back)
-        if found != want:
+        above = [{"name": p, "sha256": self._seal(p)} for p in parents]
+        folder = f"v-{uuid.uuid4().hex}"
+        place = f"{self.root}/{name}/{folder}"
+        seen = Observation()
+        df.observe(seen, *_measures(df)).write.partitionBy(*partition_by).parquet(place)
+        want, back = _metadata(df.schema, seen.get), self._rows(place, df.schema)
+        if content_metadata(back) != want:
             raise OSError(f"{name}: what was read back differs from what was written")
-        fs, target = self._fs(place)
-        fs.delete(target, True)
-        if not fs.rename(self._fs(staging)[1], target):
-            raise OSError(f"could not move {name} into place")
-        above = [{"name": p, "sha256": sha256(canonical(self._complete(p)))} for p in parents]
-        self._put(f"{place}/manifest.json", canonical({
-            "name": name, "version": VERSION, "status": "complete", "input_hash": input_hash, "columns": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields],
+        self._put(f"{self.root}/{name}/manifest.json", canonical({
+            "name": name, "version": VERSION, "folder": folder, "status": "complete", "input_hash": input_hash, "columns": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields],
             "parents": above, "sampling": sampling, "note": note, **want}))
+        self.tidy(name, keep=[folder, *([known["folder"]] if known and "folder" in known else [])])
         return self.open(name)
 
+    def _rows(self, place: str, schema) -> DataFrame:
+        d = self.spark.read.schema(schema).parquet(place)
+        return d.select(*(schema.names if isinstance(schema, T.StructType) else d.columns))
+
+    def tidy(self, name: str, keep: list[str] | None = None) -> list[str]:
+        """Deletes versions that are neither published nor kept (write keeps the one before for its readers); their names."""
+        known = self.manifest(name)
+        stay = {known["folder"]} if keep is None and known else set(keep or [])
+        fs, p = self._fs(f"{self.root}/{name}")
+        if not fs.exists(p):
+            return []
+        gone = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("v-") and s.getPath().getName() not in stay]
+        for path in gone:
+            fs.delete(path, True)
+        return sorted(path.getName() for path in gone)
+
+    def _seal(self, name: str) -> str:
+        """Hash of a complete result's manifest but for where its rows lie."""
+        return sha256(canonical({k: v for k, v in self._complete(name).items() if k != "folder"}))
+
     def _complete(self, name: str) -> dict:
         known = self.manifest(name)
         if not known or known["status"] != "complete":
@@ -113,7 +149,7 @@ class Store:
     def open(self, name: str, verify: bool = False) -> DataFrame:
         """The rows of a complete result under the schema of its manifest; verify compares their content hash too."""
         known = self._complete(name)
-        d = self.spark.read.schema(", ".join(f"`{c['name']}` {c['type']}" for c in known["columns"])).parquet(f"{self.root}/{name}/data")
+        d = self.spark.read.schema(", ".join(f"`{c['name']}` {c['type']}" for c in known["columns"])).parquet(f"{self.root}/{name}/{known['folder']}")
         d = d.select(*[c["name"] for c in known["columns"]])
         if verify and content_metadata(d)["content_hash"] != known["content_hash"]:
             raise ValueError(f"{name} differs from its manifest")
@@ -122,7 +158,7 @@ class Store:
     def check_chain(self, name: str) -> None:
         """Raises if a result, or one that it was made from, has changed since."""
         for parent in self._complete(name)["parents"]:
-            if sha256(canonical(self._complete(parent["name"]))) != parent["sha256"]:
+            if self._seal(parent["name"]) != parent["sha256"]:
                 raise ValueError(f"{parent['name']} has changed since {name} was made")
             self.check_chain(parent["name"])
 

@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -74,3 +75,32 @@ def test_a_longer_lattice(spark):
     points = points.withColumn("v", F.sin(3 * F.col("x") * (2 * math.pi / n)) * F.cos(2 * F.col("z") * (2 * math.pi / n)))
     g = cube(long_lattice.pressure_gradient(points, n), "gx", n)
     assert np.allclose(g, 3 * np.cos(3 * x)[None, None, :] * np.cos(2 * x)[:, None, None] + 0 * f, atol=1e-10)
+
+
+def test_sides_of_different_lengths(spark):
+    shape, lengths = (16, 24, 32), {"z": 3.0, "y": 5.0, "x": 7.0}
+    f = np.random.default_rng(2).normal(size=shape)
+    z, y, x = (c.ravel().tolist() for c in np.indices(shape))
+    points = spark.createDataFrame(list(zip(x, y, z, f.ravel().tolist())), "x int, y int, z int, v double").repartition(3)
+    sizes = dict(zip("zyx", shape))
+    wanted = {**{f"d{a}": Gain("v", a) for a in "xyz"}, "soft": Gain("v", None, "gaussian", 1.3)}
+    p = long_lattice.spectral_columns(points, sizes, wanted, lengths, ["v"]).toPandas().sort_values(["z", "y", "x"])
+    cube_of = lambda c: p[c].to_numpy().reshape(shape)
+    waves = {a: np.fft.fftfreq(n, 1 / n).reshape([-1 if b == a else 1 for b in "zyx"]) for a, n in sizes.items()}
+    spectrum = np.fft.fftn(f)
+    assert np.array_equal(cube_of("v"), f)
+    for a, k in waves.items():
+        slope = np.where(2 * np.abs(k) == sizes[a], 0, 2j * np.pi / lengths[a] * k)
+        assert np.allclose(cube_of(f"d{a}"), np.fft.ifftn(spectrum * slope).real), a
+    soft = math.prod(np.exp(-0.5 * (1.3 * 2 * np.pi / sizes[a] * k) ** 2) for a, k in waves.items())
+    assert np.allclose(cube_of("soft"), np.fft.ifftn(spectrum * soft).real)
+    with pytest.raises(ValueError, match="cubic"):
+        long_lattice.spectral_columns(points, sizes, {"s": Gain("v", None, "smooth_sharp", 2.0)})
+
+
+def test_carried_columns_are_not_transformed(spark):
+    n = {"x": 4, "y": 6, "z": 5}
+    points = spark.range(120).selectExpr("cast(id % 4 as int) x", "cast(floor(id / 4) % 6 as int) y", "cast(floor(id / 24) as int) z", "sin(id) ux", "cos(id) uy", "sin(2 * id) uz")
+    plan = long_lattice.derived_fields(points, n, [1.0, 2.0])._jdf.queryExecution().optimizedPlan().toString()
+    # Transformed: 9 gradients and 12 columns a width, then 9 a width, then 3 fluxes a width.
+    assert len(set(re.findall(r"\bre_(s\d_\w+|g\w\w)#", plan))) == 9 + 2 * (12 + 9 + 3 + 3)  # fluxes go in, their slopes come out

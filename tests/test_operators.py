@@ -60,6 +60,34 @@ def test_exact_percentiles_by_group(spark):
     assert stats.exact_percentiles(d.where("v is null"), "g", "v", shares).count() == 0
 
 
+@pytest.mark.parametrize("way", [{"DRIVER_ROWS": -1}, {"DRIVER_ROWS": -1, "BRACKET_ROWS": 0}, {"NEAR": 0.0}])
+def test_percentiles_by_every_way(spark, monkeypatch, way):
+    for name, value in way.items():
+        monkeypatch.setattr(stats, name, value)
+    draw, shares = np.random.default_rng(12), [0.1, 0.5, 0.505, 0.999]
+    values = {g: {"a": draw.normal(size=n), "b": draw.integers(0, 9, n).astype(float)} for g, n in ((1, 7000), (2, 3), (None, 900))}
+    rows = [(g, float(a), float(b) if k % 5 else None) for g, x in values.items() for k, (a, b) in enumerate(zip(x["a"], x["b"]))]
+    d = spark.createDataFrame([*rows, (7, None, None)], "g int, a double, b double").repartition(3)
+    got = {(r["g"], r["column"]): r["p"] for r in stats.exact_percentiles_of(d, "g", ["a", "b"], shares, 16).collect()}
+    kept = {(g, c): [x for k, x in enumerate(v) if c == "a" or k % 5] for g, cols in values.items() for c, v in cols.items()}
+    assert got.keys() == kept.keys()
+    for key, x in kept.items():
+        assert got[key] == pytest.approx(np.percentile(x, [100 * s for s in shares]).tolist(), rel=1e-12), key
+
+
+def test_percentiles_scan_their_source_twice(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for batch in it:
+            met.add(batch.num_rows)
+            yield batch
+
+    d = spark.range(30_000).selectExpr("cast(id % 3 as int) g", "sin(id) v").mapInArrow(count, "g int, v double")
+    assert stats.exact_percentiles(d, "g", "v", [0.025, 0.25, 0.5, 0.75, 0.975]).count() == 3
+    assert met.value == 60_000
+
+
 def test_no_task_gathers_the_values_of_a_bin(spark):
     d = spark.range(200).selectExpr("0 as frame", "cast(id as double) q", "1.0d u2", "cast(id + 1 as double) ux", "0.0d uy", "0.0d uz", "-1.0d gx", "cast(id as double) gy", "0.0d gz")
     for got in (binning.conditional_tails(d, "u2", "q", [0.0, 2.0], ["all"]), events.angle_summary(d)):

@@ -36,7 +36,7 @@ def test_an_unfinished_or_changed_result_is_not_opened(spark, store):
     with pytest.raises(ValueError):
         store.open("half")
     store.write(d, "whole")
-    lattice(spark, seed=3.0).write.mode("append").parquet(f"{store.root}/whole/data")
+    lattice(spark, seed=3.0).write.mode("append").parquet(f"{store.root}/whole/{store.manifest('whole')['folder']}")
     with pytest.raises(ValueError):
         store.open("whole", verify=True)
     other = store.manifest("whole") | {"version": 99}
@@ -53,6 +53,71 @@ def test_content_hash_ignores_order_and_counts_repeats(spark):
     assert results.content_metadata(d.where("v > 9"))["rows"] == 0
 
 
+def test_content_hash_tells_where_nulls_are(spark):
+    kind = "a int, b int"
+    one, other = (results.content_metadata(spark.createDataFrame([row], kind))["content_hash"] for row in ((None, 5), (5, None)))
+    assert one != other
+    assert results.content_metadata(spark.createDataFrame([(None, None)], kind))["content_hash"] != results.content_metadata(spark.createDataFrame([], kind))["content_hash"]
+
+
+def _same_rows(a, b):
+    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@pytest.mark.parametrize("step", ["parents", "input", "read back", "rename", "manifest"])
+def test_a_write_that_fails_leaves_the_former_result(spark, store, monkeypatch, step):
+    d = lattice(spark)
+    store.write(d, "one", "hash-a")
+    new, parents, failure = lattice(spark, seed=2.0), (), OSError
+    if step == "parents":
+        parents, failure = ("nobody",), ValueError
+    if step == "input":
+        new, failure = new.withColumn("v", F.when(F.col("z") == 5, F.raise_error(F.lit("broken")).cast("double")).otherwise(F.col("v"))), Exception
+    if step == "read back":
+        real = store._rows
+        monkeypatch.setattr(store, "_rows", lambda place, schema: real(place, schema).where("z > 0"))
+    if step == "rename":
+        monkeypatch.setattr(store, "_replace", lambda part, place: (_ for _ in ()).throw(OSError("rename")))
+    if step == "manifest":
+        monkeypatch.setattr(store, "_put", lambda path, text: (_ for _ in ()).throw(OSError("manifest")))
+    with pytest.raises(failure):
+        store.write(new, "one", "hash-b", parents)
+    monkeypatch.undo()
+    assert _same_rows(store.open("one", verify=True), d)
+    assert store.manifest("one")["input_hash"] == "hash-a"
+    store.write(new if step != "input" else lattice(spark, seed=2.0), "one", "hash-b")
+    assert _same_rows(store.open("one", verify=True), lattice(spark, seed=2.0))
+    store.tidy("one")
+    assert _same_rows(store.open("one", verify=True), lattice(spark, seed=2.0))
+    assert store.tidy("one") == []
+
+
+def test_readers_of_the_former_version_go_on(spark, store):
+    former = store.write(lattice(spark), "one", "a")
+    store.write(lattice(spark, seed=2.0), "one", "b", partition_by=("z",))
+    assert _same_rows(former, lattice(spark))
+    assert _same_rows(store.open("one", verify=True), lattice(spark, seed=2.0))
+
+
+def test_the_input_is_computed_once(spark, store):
+    met = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for batch in it:
+            met.add(batch.num_rows)
+            yield batch
+
+    store.write(lattice(spark).mapInArrow(count, "z int, y int, x int, v double"), "one", "a")
+    assert met.value == 216
+
+
+def test_a_parent_written_again_with_the_same_rows_breaks_no_chain(spark, store):
+    store.write(lattice(spark), "base")
+    store.write(lattice(spark), "derived", parents=("base",))
+    store.write(lattice(spark), "base")
+    store.check_chain("derived")
+
+
 def test_chain_catalog_and_composite(spark, store):
     d = lattice(spark)
     assert store.catalog().count() == 0
