@@ -108,14 +108,16 @@ def frequent_terms(docs: DataFrame, least: int = 10, levels: tuple[int, ...] = (
                 held, times, _ = words.distinct(rows * len(terms) + ids)
                 row, term = held // len(terms), held % len(terms)
                 keys, docs_of, where = words.distinct((lang_of[row] * len(sources) + source_of[row]) * len(terms) + term)
-                group = keys // len(terms)
+                group, _, place = words.distinct(keys // len(terms))
+                # Language and source in one string, the length of the first ahead.
+                names = [f"{len(x)}:{x}{y}" for x, y in zip((langs[g // len(sources)] for g in group), (sources[g % len(sources)].as_py() for g in group), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()).take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources))), terms.take(pa.array(keys % len(terms))),
-                     pa.array(docs_of.astype(np.int64)), pa.array(np.bincount(where, times, len(keys)).astype(np.int64))],
-                    ["lang", "source", "term", "docs", "n"])
+                    [pa.array(names, pa.string()).take(pa.array(place)), terms.take(pa.array(keys % len(terms))), pa.array(docs_of.astype(np.int64)), pa.array(np.bincount(where, times, len(keys)).astype(np.int64))], ["group", "term", "docs", "n"])
 
-    counted = docs.select("lang", "source", "text").mapInArrow(batches, "lang string, source string, term string, docs bigint, n bigint")
-    counted = counted.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    counted = docs.select("lang", "source", "text").mapInArrow(batches, "group string, term string, docs bigint, n bigint")
+    counted = counted.groupBy("group", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    size, start = F.substring_index("group", ":", 1).cast("int"), F.instr("group", ":") + 1
+    counted = counted.select(F.substr("group", start, size).alias("lang"), F.substr("group", start + size).alias("source"), "term", "docs", "n")
     whole = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_count"), F.collect_list(F.struct("source", "n")).alias("by"))
     return whole.where(F.col("docs") >= least).select("lang", "term", "lang_count", "by")
 
