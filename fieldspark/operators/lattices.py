@@ -172,12 +172,17 @@ def tile_plan(points: DataFrame, sizes: dict[str, int], tile: int) -> DataFrame:
 
 
 def tiles_in_request(requests: DataFrame, tiles: DataFrame) -> DataFrame:
-    """(request_key, tile_key) for each tile that lies wholly in a request; both as from tile_plan."""
-    r = F.broadcast(requests.select(F.col("tile_key").alias("request_key"), *[F.col(c).alias(f"r_{c}") for a in AXES for c in (f"{a}0", f"n{a}")]))
+    """(request_key, tile_key) for each tile that lies wholly in a request; both as from tile_plan.
+
+    Requests are regular, so a tile's only candidate follows from its origin by division: a join by key.
+    """
+    width = requests.agg(*[F.max(f"n{a}").alias(a) for a in AXES]).first()
+    r = requests.select(F.col("tile_key").alias("request_key"), *[F.col(f"{a}0").alias(f"r_{a}0") for a in AXES], *[F.col(f"n{a}").alias(f"r_n{a}") for a in AXES])
+    t = tiles.withColumns({f"r_{a}0": (F.floor(F.col(f"{a}0") / (width[a] or 1)) * (width[a] or 1)).cast("int") for a in AXES})
     inside = F.lit(True)
     for a in AXES:
-        inside = inside & (F.col(f"{a}0") >= F.col(f"r_{a}0")) & (F.col(f"{a}0") + F.col(f"n{a}") <= F.col(f"r_{a}0") + F.col(f"r_n{a}"))
-    return tiles.join(r, inside).select("request_key", "tile_key")
+        inside = inside & (F.col(f"{a}0") + F.col(f"n{a}") <= F.col(f"r_{a}0") + F.col(f"r_n{a}"))
+    return t.join(r, [f"r_{a}0" for a in AXES]).where(inside).select("request_key", "tile_key")
 
 
 def tile_status(points: DataFrame, sizes: dict[str, int], tile: int) -> DataFrame:

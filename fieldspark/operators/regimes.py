@@ -35,15 +35,14 @@ def threshold_code(eps_full: Column, eps_resolved: Column, full: str = "work_ful
             .when((a < -eps_full) & (b < -eps_resolved) & (d > eps), 5).when((a < -eps_full) & (b < -eps_resolved) & (d < -eps), 6).otherwise(0))
 
 
-def contributions(points: DataFrame, tolerance: float = 1e-12) -> DataFrame:
-    """Per regime and field: count, share, sum, means over all and over the regime, closure."""
+def contributions(points: DataFrame) -> DataFrame:
+    """Per regime and field: count, share, sum, means over all and over the regime."""
     d = points.withColumn("delta_w", F.col("work_full") - F.col("work_resolved")).withColumn("regime", sign_regime())
-    sums = [F.sum(f).alias(f) for f in FIELDS] + [F.sum(F.abs(f)).alias(f"abs_{f}") for f in FIELDS]
-    by = d.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), *sums)
+    by = d.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f) for f in FIELDS])
     names = d.sparkSession.createDataFrame([(r,) for r in REGIMES], "regime string")
     full = F.broadcast(names).join(by, "regime", "left").fillna(0)
-    long = full.select("regime", "n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("total"), F.col(f"abs_{f}").alias("size")) for f in FIELDS])).alias("f")).select("regime", "n", "f.*")
-    totals = long.groupBy("field").agg(F.sum("n").alias("all_n"), F.sum("total").alias("all_total"), F.sum("size").alias("all_size"))
+    long = full.select("regime", "n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("total")) for f in FIELDS])).alias("f")).select("regime", "n", "f.*")
+    totals = long.groupBy("field").agg(F.sum("n").alias("all_n"), F.sum("total").alias("all_total"))
     out = long.join(F.broadcast(totals), "field")
     return out.select(
         "regime", "field", F.col("n").alias("count"), clean(ratio(F.col("n"), F.col("all_n"))).alias("volume_fraction"),

@@ -14,23 +14,21 @@ TAILS, CENTRE = 20, 60
 BINS = 2 * TAILS + CENTRE
 
 
-def tail_plan(points: DataFrame, value: str, outer: float = 0.025) -> DataFrame:
+def tail_plan(points: DataFrame, value: str, outer: float = 0.025, flat_tails: bool = False) -> DataFrame:
     """One row per frame: lo, lower, upper, hi of a value, `outer` of the points lying in each tail.
 
-    A centre without a width is an error; a tail without one holds only points at the extreme itself.
+    A centre or a tail without a width is an error; flat_tails lets such tails through, which hold only
+    points at the extreme itself.
     """
     p = exact_percentiles(points, "frame", value, [0.0, outer, 1 - outer, 1.0])
     plan = p.select("frame", *[F.get("p", F.lit(k)).alias(n) for k, n in enumerate(("lo", "lower", "upper", "hi"))])
     if plan.where("not lower < upper").count():
         raise ValueError(f"{value} has a centre without a width")
+    if not flat_tails and plan.where("not (lo < lower and upper < hi)").count():
+        raise ValueError(f"{value} has a tail without a width")
     return plan
 
 
-def off_ties(c: Column) -> Column:
-    """Nine digits of a value that may lie half way between two such numbers: a nudge beyond the sums' noise decides for all engines."""
-    return clean(c + 1e-12, 9)
-
-
 def _share(x: Column, a: Column, b: Column) -> Column:
     """Where x lies between a and b: by ratio if both have one sign, else by difference; 0 where they are equal."""
     by_ratio = ratio(F.ln(F.abs(x)) - F.ln(F.abs(a)), F.ln(F.abs(b)) - F.ln(F.abs(a)))
@@ -63,7 +61,7 @@ def bin_edges(plan: DataFrame) -> DataFrame:
     return d.select("*", middle.alias("bin_center"), (right - left).alias("bin_width"))
 
 
-def conditional_both(points: DataFrame, x: str, y: str, least: int = 100, coverage: float = 0.5) -> DataFrame:
+def conditional_both(points: DataFrame, x: str, y: str, least: int = 100, coverage: float = 0.5, flat_tails: bool = False) -> DataFrame:
     """For y given x and x given y: the mean and the central range of the one in each bin of the other, by frame.
 
     A point's bin is found by arithmetic from its frame's plan, a row per frame; the ranges are exact
@@ -71,17 +69,17 @@ def conditional_both(points: DataFrame, x: str, y: str, least: int = 100, covera
     """
     out = None
     for given, of in ((x, y), (y, x)):
-        plan = tail_plan(points, given)
-        d = points.join(F.broadcast(plan), "frame").select("frame", tail_bin(F.col(given)).alias("bin"), F.col(of).alias("v"))
+        plan = tail_plan(points, given, flat_tails=flat_tails)
+        d = points.join(beside(plan), "frame").select("frame", tail_bin(F.col(given)).alias("bin"), F.col(of).alias("v"))
         d = d.withColumn("key", F.col("frame").cast("bigint") * BINS + F.col("bin"))
         by = d.groupBy("frame", "bin", "key").agg(F.count(F.lit(1)).alias("count"), F.avg("v").alias("m"))
         ranges = exact_percentiles(d, "key", "v", [(1 - coverage) / 2, (1 + coverage) / 2])
         sizes = by.groupBy("frame").agg(F.sum("count").alias("n"))
         # Rows here are bins: frames times BINS.
-        rows = bin_edges(plan).join(by, ["frame", "bin"], "left").join(F.broadcast(ranges), "key", "left").join(F.broadcast(sizes), "frame")
+        rows = bin_edges(plan).join(by, ["frame", "bin"], "left").join(beside(ranges), "key", "left").join(beside(sizes), "frame")
         rows = rows.select(
-            F.lit(f"{of}_given_{given}").alias("direction"), "frame", "bin", "region", *[off_ties(F.col(c)).alias(c) for c in ("bin_left", "bin_right", "bin_center", "bin_width")],
-            F.coalesce("count", F.lit(0)).alias("count"), clean(F.coalesce("count", F.lit(0)) / F.col("n")).alias("volume_fraction"), off_ties(F.col("m")).alias("conditional_mean"),
+            F.lit(f"{of}_given_{given}").alias("direction"), "frame", "bin", "region", "bin_left", "bin_right", "bin_center", "bin_width",
+            F.coalesce("count", F.lit(0)).alias("count"), clean(F.coalesce("count", F.lit(0)) / F.col("n")).alias("volume_fraction"), F.col("m").alias("conditional_mean"),
             (F.coalesce("count", F.lit(0)) >= least).alias("reliable"), clean(F.get("p", F.lit(0)), 8).alias("range_low"), clean(F.get("p", F.lit(1)), 8).alias("range_high"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -185,7 +183,7 @@ def near_zero_features(vectors: DataFrame) -> DataFrame:
     amp = F.sqrt(F.col("u2") * F.col("g2"))
     d = d.join(F.broadcast(scales)).select("frame", "u2", "g2", "q", F.round(F.col("q") / F.col("q_rms"), 9).alias("qn"), F.round(F.sqrt(F.col("u2") / F.col("u2_mean")), 9).alias("speed"),
                                            F.round(F.sqrt("g2") / F.col("g_rms"), 9).alias("gradient"), F.round(F.least(ratio(F.abs("q"), amp), F.lit(1.0)), 9).alias("cos"), F.round(amp / F.col("q_rms"), 9).alias("amplitude"))
-    plan = tail_plan(d, "qn")
+    plan = tail_plan(d, "qn", flat_tails=True)  # one frame, whose exact zeros may fill a tail
     binned = d.join(F.broadcast(plan), "frame").withColumn("bin", tail_bin(F.col("qn")))
     peak = binned.where(F.col("bin").between(TAILS, TAILS + CENTRE - 1)).groupBy("bin").count().orderBy(F.desc("count"), "bin").limit(1).select(F.col("bin").alias("peak"))
     binned = binned.join(F.broadcast(peak), how="left")

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 #: Fixed value: the layout of a result folder; others are not opened.
 VERSION = 2
-MANIFEST_SCHEMA = "name string, version int, folder string, status string, input_hash string, content_hash string, rows bigint, columns array<struct<name:string,type:string>>, parents array<struct<name:string,sha256:string>>, sampling int, note string"
+MANIFEST_SCHEMA = "name string, version int, folder string, status string, input_hash string, content_hash string, rows bigint, columns array<struct<name:string,type:string>>, bucket_by array<string>, buckets int, parents array<struct<name:string,sha256:string>>, sampling int, note string"
 
 
 def lattice_schema(fields: dict[str, T.DataType]) -> T.StructType:
@@ -94,12 +94,15 @@ class Store:
         path = f"{self.root}/{name}/manifest.json"
         return json.loads(self._get(path)) if self._exists(path) else None
 
-    def write(self, df: DataFrame, name: str, input_hash: str = "", parents: tuple[str, ...] = (), sampling: int = 1, note: str = "", partition_by: tuple[str, ...] = ()) -> DataFrame:
+    def write(self, df: DataFrame, name: str, input_hash: str = "", parents: tuple[str, ...] = (), sampling: int = 1, note: str = "", partition_by: tuple[str, ...] = (), bucket_by: tuple[str, ...] = (), buckets: int = 0) -> DataFrame:
         """Writes a result and opens it; one that is complete and has the same input hash is opened as it is.
 
         Parents are looked up first.  The rows go to a new version, are read again and compared by content
         hash, and only then does the manifest name them; until then, and after any failure, the former result
         is what opens.  The input is computed once: its hash is observed while it is written.
+
+        bucket_by, buckets: rows are dealt out by these columns and sorted by them, once; results with the
+        same buckets join on them without a shuffle.
         """
         known = self.manifest(name)
         if known and input_hash and known["input_hash"] == input_hash and known["version"] == VERSION:
@@ -108,13 +111,18 @@ class Store:
         folder = f"v-{uuid.uuid4().hex}"
         place = f"{self.root}/{name}/{folder}"
         seen = Observation()
-        df.observe(seen, *_measures(df)).write.partitionBy(*partition_by).parquet(place)
+        if bucket_by:
+            # Dealt out ahead, so that a bucket is one file and its sort order holds.
+            dealt = df.observe(seen, *_measures(df)).repartition(buckets, *bucket_by)
+            dealt.write.bucketBy(buckets, *bucket_by).sortBy(*bucket_by).format("parquet").option("path", place).saveAsTable(self._table(folder))
+        else:
+            df.observe(seen, *_measures(df)).write.partitionBy(*partition_by).parquet(place)
         want, back = _metadata(df.schema, seen.get), self._rows(place, df.schema)
         if content_metadata(back) != want:
             raise OSError(f"{name}: what was read back differs from what was written")
         self._put(f"{self.root}/{name}/manifest.json", canonical({
             "name": name, "version": VERSION, "folder": folder, "status": "complete", "input_hash": input_hash, "columns": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema.fields],
-            "parents": above, "sampling": sampling, "note": note, **want}))
+            "bucket_by": list(bucket_by), "buckets": buckets, "parents": above, "sampling": sampling, "note": note, **want}))
         self.tidy(name, keep=[folder, *([known["folder"]] if known and "folder" in known else [])])
         return self.open(name)
 
@@ -131,9 +139,24 @@ class Store:
             return []
         gone = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("v-") and s.getPath().getName() not in stay]
         for path in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(path.getName())}")
             fs.delete(path, True)
         return sorted(path.getName() for path in gone)
 
+    @staticmethod
+    def _table(folder: str) -> str:
+        """The session's name for a bucketed version; a version's folder is unique."""
+        return f"result_{folder.replace('-', '_')}"
+
+    def _bucketed(self, known: dict) -> DataFrame:
+        """A bucketed version as a table, made known to this session if it is not."""
+        table = self._table(known["folder"])
+        if not self.spark.catalog.tableExists(table):
+            columns = ", ".join(f"`{c['name']}` {c['type']}" for c in known["columns"])
+            keys = ", ".join(f"`{c}`" for c in known["bucket_by"])
+            self.spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {known['buckets']} BUCKETS LOCATION '{self.root}/{known['name']}/{known['folder']}'")
+        return self.spark.table(table)
+
     def _seal(self, name: str) -> str:
         """Hash of a complete result's manifest but for where its rows lie."""
         return sha256(canonical({k: v for k, v in self._complete(name).items() if k != "folder"}))
@@ -149,7 +172,7 @@ class Store:
     def open(self, name: str, verify: bool = False) -> DataFrame:
         """The rows of a complete result under the schema of its manifest; verify compares their content hash too."""
         known = self._complete(name)
-        d = self.spark.read.schema(", ".join(f"`{c['name']}` {c['type']}" for c in known["columns"])).parquet(f"{self.root}/{name}/{known['folder']}")
+        d = self._bucketed(known) if known.get("buckets") else self.spark.read.schema(", ".join(f"`{c['name']}` {c['type']}" for c in known["columns"])).parquet(f"{self.root}/{name}/{known['folder']}")
         d = d.select(*[c["name"] for c in known["columns"]])
         if verify and content_metadata(d)["content_hash"] != known["content_hash"]:
             raise ValueError(f"{name} differs from its manifest")
@@ -172,7 +195,10 @@ class Store:
         return self.spark.read.schema(MANIFEST_SCHEMA).json(f"{self.root}/*/manifest.json")
 
     def composite(self, names: list[str], keys: list[str]) -> DataFrame:
-        """The columns of several complete results of one input side by side; the first result that has a name gives it."""
+        """The columns of several complete results of one input side by side; the first result that has a name gives it.
+
+        Results that are bucketed by the keys in one way are joined bucket by bucket, without a shuffle.
+        """
         known = [self._complete(n) for n in names]
         if len({(k["input_hash"], k["sampling"]) for k in known}) > 1:
             raise ValueError("the results are of different inputs or samplings")

@@ -56,6 +56,13 @@ def test_a_centre_without_width_is_an_error(spark):
         tails.tail_plan(d, "q")
 
 
+def test_a_tail_without_width_is_an_error_unless_asked_for(spark):
+    d = bag(spark, [0.0] * 50 + [1.0, 2.0, 3.0] * 20)
+    with pytest.raises(ValueError, match="tail"):
+        tails.tail_plan(d, "q")
+    assert tails.tail_plan(d, "q", flat_tails=True).count() == 1
+
+
 def test_every_point_is_in_one_bin_between_its_edges(spark):
     d = bag(spark, [math.sin(k) * 3 + math.cos(k * k) for k in range(3000)])
     plan = tails.tail_plan(d, "q")

@@ -92,6 +92,36 @@ def test_a_write_that_fails_leaves_the_former_result(spark, store, monkeypatch,
     assert store.tidy("one") == []
 
 
+def test_bucketed_results_join_without_a_shuffle(spark, store):
+    keys = ("z", "y", "x")
+    d = lattice(spark)
+    more = {"a": d.withColumnRenamed("v", "a"), "b": d.withColumn("b", F.col("v") * 2).drop("v"), "c": d.withColumn("c", F.col("v") + 1).drop("v")}
+    for name, rows in more.items():
+        store.write(rows.repartition(3), name, "in", bucket_by=keys, buckets=4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        both = store.composite(["a", "b", "c"], list(keys))
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        by = both.groupBy(*keys).agg(F.sum("a").alias("s"))  # what is grouped by the keys needs no shuffle either
+        assert "Exchange" not in by._jdf.queryExecution().executedPlan().toString()
+        assert both.count() == 216 and both.where("b <> 2 * a or c <> a + 1").count() == 0
+        # A session that does not know the tables yet finds the buckets in the manifests.
+        other = results.Store(spark.newSession(), store.root)
+        for name in more:
+            spark.sql(f"DROP TABLE {store._table(store.manifest(name)['folder'])}")
+        again = other.composite(["a", "b"], list(keys))
+        again.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString()
+        assert again.count() == 216
+        store.write(d.withColumn("a", F.col("v") * 3).drop("v"), "a", "in2", bucket_by=keys, buckets=4)
+        store.write(d.withColumn("a", F.col("v") * 4).drop("v"), "a", "in3", bucket_by=keys, buckets=4)
+        assert store.open("a", verify=True).agg(F.sum("a")).first()[0] == pytest.approx(4 * d.agg(F.sum("v")).first()[0])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_readers_of_the_former_version_go_on(spark, store):
     former = store.write(lattice(spark), "one", "a")
     store.write(lattice(spark, seed=2.0), "one", "b", partition_by=("z",))
