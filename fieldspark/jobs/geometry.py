@@ -1,4 +1,4 @@
-"""Queries on blocks with ghost layers, voxel surfaces and hash trees, each with its SQL."""
+"""Queries on blocks with ghost layers, voxel surfaces, hash trees, chosen planes and stored measures, each with its SQL."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from fieldspark.functions.scalar import clean
 from fieldspark.jobs.grids import _LAT, _lattice
-from fieldspark.jobs.registry import _r, query
-from fieldspark.operators import halo, long_lattice, surfaces
+from fieldspark.jobs.registry import _bag, _r, query
+from fieldspark.operators import gates, halo, lattices, long_lattice, surfaces
 from fieldspark.operators.long_lattice import Gain
+from fieldspark.sources import shared, views
 
 _BLOCK = {"z": 7, "y": 4, "x": 3}  # ragged along all axes
 _STEPS = "(VALUES (-2, 1e0), (-1, -8e0), (1, 8e0), (2, -1e0)) s(k, w)"
@@ -92,3 +93,27 @@ def lattice_spectra(spark, sf_dir):
     wanted = {"soft": Gain("v", None, "gaussian", _WIDTH), **{f"g{a}": Gain("v", a) for a in "xyz"}}
     out = long_lattice.spectral_columns(d, {a: n[a] for a in "xyz"}, wanted, carry=["v"])
     return out.select("x", "y", "z", "v", *[clean(F.col(c), 1).alias(c) for c in wanted])
+
+
+_AT = {"x": [0, 3, 7], "y": [5], "z": [1, 2, 4000]}
+
+
+@query(f"{_LAT} " + " UNION ALL ".join(f"SELECT '{a}' AS axis, {a} AS index, x, y, z, v FROM lattice WHERE {a} IN ({', '.join(map(str, ks))})" for a, ks in _AT.items()))
+def chosen_planes(spark, sf_dir):
+    d, _ = _lattice(spark, sf_dir)
+    return lattices.planes_at(d, _AT)
+
+
+_LIMITS = {"strict": {"identity_residual": 1e-4, "net_ratio": 0.01, "nonfinite": 0.0}, "loose": {"identity_residual": 1e-2, "identity_worst": 1e-6, "net_ratio": 50.0}}
+
+
+@query(_bag(f"""d AS (SELECT *, work_full - work_resolved + pi - s_bar AS r FROM bag),
+a AS (SELECT frame, coalesce(sqrt(avg(r * r)) / nullif(sqrt(avg(work_full * work_full) + avg(work_resolved * work_resolved) + avg(pi * pi) + avg(s_bar * s_bar)), 0), 0) AS identity_residual, max(abs(r)) AS identity_worst, abs(sum(s_bar)) / nullif(abs(sum(pi)), 0) AS net_ratio, (count(*) FILTER (NOT isfinite(pi)))::double AS nonfinite FROM d GROUP BY frame),
+m AS (UNPIVOT a ON identity_residual, identity_worst, net_ratio, nonfinite INTO NAME measure VALUE value),
+l AS (SELECT * FROM (VALUES {', '.join(f"('{s}', '{k}', {v!r}::double)" for s, x in _LIMITS.items() for k, v in x.items())}) t(rules, measure, "limit"))
+SELECT rules, frame::INTEGER AS frame, measure, {_r('value')} AS value, "limit", value <= "limit" AS passed FROM m JOIN l USING (measure)"""))
+def judged_measures(spark, sf_dir):
+    """Measures of each frame, stored once and judged under two sets of limits without another scan of the points."""
+    measures = shared.stored(gates.frame_measures(views.bag_of_points(spark, sf_dir)), "measures")
+    sets = [gates.judge(measures, x).withColumn("rules", F.lit(name)) for name, x in _LIMITS.items()]
+    return sets[0].unionByName(sets[1]).select("rules", "frame", "measure", clean(F.col("value")).alias("value"), "limit", "passed")

@@ -95,3 +95,35 @@ def matching_counts(ours: DataFrame, theirs: DataFrame, keys: list[str], count:
     """Rows of two tables of counts side by side: keys, count of each, passed."""
     a, b = ours.select(*keys, F.col(count).alias("own_count")), theirs.select(*keys, F.col(count).alias("other_count"))
     return a.join(b, keys, "full").withColumn("passed", F.col("own_count").eqNullSafe(F.col("other_count")))
+
+
+def frame_measures(points: DataFrame) -> DataFrame:
+    """frame, measure, value: what frames are judged by, without a judgement, from one grouped pass.
+
+    identity_residual: rms of work_full - work_resolved + pi - s_bar over the joint rms of its terms;
+    identity_worst: its largest magnitude; net_ratio: |sum of s_bar| over |sum of pi|, null where the
+    latter vanishes; nonfinite: how many values of pi are no numbers.
+    """
+    terms = ("work_full", "work_resolved", "pi", "s_bar")
+    r = F.col("work_full") - F.col("work_resolved") + F.col("pi") - F.col("s_bar")
+    square = lambda c: F.avg(c * c)
+    d = points.groupBy("frame").agg(F.sqrt(square(r)).alias("r"), F.sqrt(sum(square(F.col(t)) for t in terms)).alias("joint"), F.max(F.abs(r)).alias("worst"),
+                                    F.abs(F.sum("s_bar")).alias("s"), F.abs(F.sum("pi")).alias("p"), F.count_if(~is_finite(F.col("pi"))).cast("double").alias("bad"))
+    found = {"identity_residual": safe_ratio(F.col("r"), F.col("joint")), "identity_worst": F.col("worst"), "net_ratio": safe_ratio(F.col("s"), F.col("p")), "nonfinite": F.col("bad")}
+    return d.select("frame", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in found.items()])).alias("m")).select("frame", "m.*")
+
+
+def judge(measures: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """measures with limit and passed under given limits; a value that is null or not a number does not pass, a measure without a limit is left out.
+
+    Only the measures are read, so stored ones are judged anew under other limits without a scan of points.
+    """
+    limit = F.element_at(F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, float(v))]), F.col("measure"))
+    good = is_finite(F.col("value")) & (F.col("value") <= F.col("limit"))
+    return measures.where(F.col("measure").isin(*limits)).withColumn("limit", limit).withColumn("passed", good)
+
+
+def verdicts(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, passed, and the names of the measures that failed, in order."""
+    failed = F.array_sort(F.collect_set(F.when(~F.col("passed"), F.col("measure"))))
+    return judged.groupBy(*keys).agg(F.bool_and("passed").alias("passed"), failed.alias("failed"))

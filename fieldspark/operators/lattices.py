@@ -22,6 +22,21 @@ def planes(points: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return points.where(near).select(F.explode(flags).alias("plane"), *AXES, "v")
 
 
+def planes_at(points: DataFrame, at: dict[str, list[int]]) -> DataFrame:
+    """axis, index, x, y, z, v: the planes at chosen indices of each axis, a point on several of them once for each; one scan.
+
+    An axis may be left out; an index beyond the lattice gives no points.
+    """
+    here = [(a, F.col(a).isin(*ks)) for a, ks in at.items() if ks]
+    if not here:
+        raise ValueError("no plane is asked for")
+    flags = F.filter(F.array(*[F.when(c, F.struct(F.lit(a).alias("axis"), F.col(a).alias("index"))) for a, c in here]), lambda p: p.isNotNull())
+    on_any = here[0][1]
+    for _, c in here[1:]:
+        on_any = on_any | c
+    return points.where(on_any).select(F.explode(flags).alias("p"), *AXES, "v").select("p.axis", "p.index", *AXES, "v")
+
+
 def sampled(points: DataFrame, stride: int = 2) -> DataFrame:
     """Every stride-th point from 0 on each axis, renumbered."""
     keep = (F.col("x") % stride == 0) & (F.col("y") % stride == 0) & (F.col("z") % stride == 0)

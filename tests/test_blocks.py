@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldspark.operators import halo, surfaces
+from fieldspark.operators import halo, lattices, surfaces
 from fieldspark.sources import arrays, shared
 
 RAGGED = {"z": 5, "y": 7, "x": 9}
@@ -242,3 +242,12 @@ def test_dense_numbers(spark):
     rows = d.collect()
     assert sorted(r["n"] for r in rows) == list(range(1000))
     assert all(r["x"] == 2 * r["id"] for r in rows)
+
+
+def test_planes_at_chosen_indices(spark):
+    cube = np.arange(60.0).reshape(3, 4, 5)
+    got = {tuple(r) for r in lattices.planes_at(as_points(spark, cube), {"x": [0, 4], "z": [2, 9]}).collect()}
+    want = {("x", k, k, y, z, cube[z, y, k]) for k in (0, 4) for y in range(4) for z in range(3)} | {("z", 2, x, y, 2, cube[2, y, x]) for x in range(5) for y in range(4)}
+    assert got == want
+    with pytest.raises(ValueError):
+        lattices.planes_at(as_points(spark, cube), {"y": []})

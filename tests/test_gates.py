@@ -96,3 +96,26 @@ def test_scalar_helpers(spark):
     assert [r["t"] for r in got] == ["m3p0", "0p0", "0p5", "12p25"]
     r = spark.range(1).select(scalar.safe_ratio(F.lit(0.0), F.lit(0.0)).alias("a"), scalar.safe_ratio(F.lit(2.0), F.lit(0.0)).alias("b"), grids.physical_time(F.lit(5), 0.25).alias("t")).first()
     assert (r["a"], r["b"], r["t"]) == (0.0, None, 1.0)
+
+
+def test_stored_measures_are_judged_without_their_points(spark, tmp_path):
+    d = bag(spark, [1.0, -2.0, 4.0, 0.5])
+    path = str(tmp_path / "measures")
+    gates.frame_measures(d).write.parquet(path)
+    kept = spark.read.parquet(path)
+    value = {(r["frame"], r["measure"]): r["value"] for r in kept.collect()}
+    r = [p * 2 - (p - 0.5) + p - p / 3 for p in (1.0, 4.0)]
+    joint = math.sqrt(sum(x * x for p in (1.0, 4.0) for x in (p * 2, p - 0.5, p, p / 3)) / 2)
+    assert value[0, "identity_residual"] == pytest.approx(math.sqrt(sum(x * x for x in r) / 2) / joint)
+    assert value[0, "identity_worst"] == pytest.approx(max(r)) and value[0, "net_ratio"] == pytest.approx(1 / 3)
+    strict, loose = (gates.judge(kept, {"net_ratio": x, "identity_worst": 100.0}) for x in (0.1, 0.5))
+    assert {tuple(r) for r in gates.verdicts(strict, ["frame"]).select("frame", "passed").collect()} == {(0, False), (1, False)}
+    assert gates.verdicts(strict, ["frame"]).first()["failed"] == ["net_ratio"]
+    assert gates.verdicts(loose, ["frame"]).where("passed").count() == 2
+    assert path in "".join(strict.inputFiles()) and strict.count() == 4
+
+
+def test_a_measure_that_is_no_number_does_not_pass(spark):
+    d = spark.createDataFrame([(0, "a", None), (0, "b", float("nan")), (0, "c", 1.0), (0, "d", 9.0)], "frame int, measure string, value double")
+    got = {r["measure"]: r["passed"] for r in gates.judge(d, {"a": 2.0, "b": 2.0, "c": 2.0}).collect()}
+    assert got == {"a": False, "b": False, "c": True}
