@@ -367,3 +367,31 @@ def prefix_trie(turns: DataFrame, segment: int = 256, run_turns: int = 1 << 16,
 
 def op11_prefix_trie(spark, sf_dir):
     return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+#: crc32 bit by bit over the decimal digits; every prefix of every conversation is a list.
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS seq FROM turns GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, seq, conv_id - conv_id % 5 AS base,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda x, c: list_reduce([xor(x, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))) % 9 AS h FROM own
+), whole AS (
+  SELECT a.conv_id, list_concat(coalesce(b.seq[1:a.h], []), a.seq[a.h + 1:]) AS seq FROM hashed a LEFT JOIN own b ON b.conv_id = a.base
+), prefixes AS (
+  SELECT conv_id, seq, d, seq[1:d] AS p FROM whole, LATERAL (SELECT unnest(range(0, len(seq) + 1)) AS d)
+), nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(seq) = d) AS ends FROM prefixes GROUP BY p, d
+), kids AS (
+  SELECT p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1
+), each AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n.n_convs - 1) * octet_length(encode(n.p[n.d].text)) ELSE 0 END AS saved FROM nodes n LEFT JOIN kids k ON k.p = n.p
+), under AS (
+  SELECT p[1:a] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM each, LATERAL (SELECT unnest(range(0, d + 1)) AS a) GROUP BY 1
+)
+SELECT e.conv_id, e.d::BIGINT AS depth, u.conv_id AS parent_conv_id, e.n_convs, e.n_children, t.n_leaves, t.saved_tokens, sha256(coalesce(e.ends, '')) AS ends_sha256
+FROM each e JOIN under t ON t.p = e.p LEFT JOIN nodes u ON e.d > 0 AND u.p = e.p[1:e.d - 1]
+"""

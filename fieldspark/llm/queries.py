@@ -10,7 +10,7 @@ from fieldspark.llm.language_id import op2_language
 from fieldspark.llm.packing import op4_packing
 from fieldspark.llm.pii import op6_pii
 from fieldspark.llm.pitman_yor import op13_pitman_yor
-from fieldspark.llm.prefix_trie import op11_prefix_trie
+from fieldspark.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from fieldspark.llm.secrets import op10_secrets
 from fieldspark.llm.simhash import op1_simhash
 from fieldspark.llm.spotsigs import op5_fingerprints
@@ -32,4 +32,4 @@ QUERIES = {
     "op13_pitman_yor": op13_pitman_yor,
 }
 
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op12_divergence": OP12_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op11_prefix_trie": OP11_SQL, "op12_divergence": OP12_SQL}

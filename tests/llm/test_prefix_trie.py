@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from fieldspark.llm import prefix_trie
@@ -76,6 +77,14 @@ def test_query_equals_plain_form(spark, sf_dir):
     assert len(got) == len(want)
 
 
+def test_sql_equals_plain_form():
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    rows = awkward()
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert {(r[0], r[1]): r[2:] for r in con.execute(prefix_trie.OP11_SQL).fetchall()} == plain(rows)
+
+
 def test_no_conversation(spark):
     assert prefix_trie.prefix_trie(spark.createDataFrame([], SCHEMA)).count() == 0
 
