@@ -77,6 +77,7 @@ class Automaton:
                 self.longest.setdefault(letters[:k], self.longest[letters[: k - 1]])
             self.shorter[token] = self.longest[letters[:-1]]
             self.longest[letters] = token
+        self.most = max(self.sizes, default=0)
         self.arcs: dict[int, int] = {}
 
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
@@ -119,9 +120,9 @@ class Automaton:
         if (whole := self.token.get(word)) is not None and self.has_arc(0, whole):
             return [whole]
         arcs, sizes, shorter, depth, longest = self.arcs, self.sizes, self.shorter, self.trie.longest_prefix, self.longest
-        letters, end, at, state = word.decode("latin-1"), len(word), 0, 0
+        letters, end, at, state, most = word.decode("latin-1"), len(word), 0, 0, self.most
         ids, states, dead = [], [], set()
-        token = longest[letters[: depth(letters)]]
+        token = longest[letters[: depth(letters[:most])]]
         while True:
             while token >= 0:
                 to_at = at + sizes[token]
@@ -142,7 +143,7 @@ class Automaton:
                 return ids
             states.append(state)
             state, at = to, to_at
-            rest = letters[at:]
+            rest = letters[at: at + most]
             token = longest[rest[: depth(rest)]]
 
     def label(self, token: int) -> bytes:
