@@ -143,16 +143,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents are linked if their fingerprints differ in `apart` (3 at most) bits or fewer;
     component_id is the smallest doc_id reachable, itself included.  Null, empty and blank
     texts have fingerprint zero and are linked like any other.  Repeated ids are kept as
-    rows; a null id never names a component.  An empty table gives no rows.
+    rows.  Rows with a null id link others, but never name a component: one of null ids alone
+    has a null component_id.  An empty table gives no rows.
     """
     if not 0 <= apart <= BITS_APART:
         raise ValueError("the keys find differences of three bits at most")
     prints = cut_lineage(fingerprints(docs, id_col, text_col))
-    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("node")))
-    linked = near_links(nodes.where("node is not null"), apart)
-    # A repeated doc_id may name two fingerprints; its rows then meet in one component.
-    named = nodes.join(linked, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    named = cut_lineage(named)
+    # Each distinct fingerprint is a node; `least` is its smallest id, null if it has null ids alone.
+    nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").cast("bigint").alias("least")))
+    linked = near_links(nodes.select(F.col("fp").alias("node"), "fp"), apart)
+    # A repeated doc_id may be the smallest of two fingerprints, whose rows then meet in one component.
+    same = nodes.where("least is not null").groupBy("least").agg(F.min("fp").alias("b"), F.max("fp").alias("last")).where("b < last")
+    same = cut_lineage(nodes.join(same, "least").select(F.col("fp").alias("a"), "b").where("a <> b"))
+    if not same.isEmpty():
+        linked = connected_components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(same))
+    grouped = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("group"))
+    grouped = cut_lineage(grouped)
+    named = cut_lineage(grouped.join(grouped.groupBy("group").agg(F.min("least").alias("component_id")), "group").select("fp", "component_id"))
     out = prints.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
