@@ -209,7 +209,7 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, sample_rows:
         path: str | None) -> tuple[list[str], np.ndarray]:
     """Languages, and probabilities (pieces x languages), from rows whose language is known.
 
-    Each language gives about sample_rows / languages rows, chosen by a hash of the id.
+    Each language gives about sample_rows / languages rows, chosen by a hash of id and text.
     The driver sees counts by language and by piece only.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, id_col: str, sample_rows:
         return [], np.zeros((len(pieces(path)) + 2, 0))
     share = {l: min(1.0, sample_rows / len(langs) / sizes[l]) for l in langs}
     limit = F.element_at(F.create_map(*[x for l in langs for x in (F.lit(l), F.lit(int(share[l] * (1 << 30))))]), F.col("lang"))
-    picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < limit)
+    picked = known.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < limit)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
