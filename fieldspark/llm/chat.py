@@ -251,14 +251,14 @@ def _joined(edges: list[tuple[str, str]]) -> list[tuple[int, int, bool, str, str
     return sorted(out)
 
 
-def fit(turns: DataFrame, most_marks: int = 2_000, most_roles: int = 8) -> Model:
-    """The model over sorted turns, of the most_roles most frequent roles; ROLES where there are none.
+def fit(turns: DataFrame, most_marks: int = 2_000) -> Model:
+    """The model over sorted turns, of all their roles; ROLES where there are none.
 
     Of marker values the most_marks most frequent are kept, so the result is bounded; the other markers
     count as one value in each state, so totals are exact; no other kind of count is cut.  The driver
     sees two rows for each part besides.
     """
-    found = turns.where("role <> ''").groupBy("role").count().orderBy(F.desc("count"), "role").limit(most_roles).collect()
+    found = turns.where("role <> ''").groupBy("role").count().collect()
     roles = tuple(sorted(r["role"] for r in found)) or ROLES
     rows = cut_lineage(counted(turns, roles))
     marks = rows.where("kind = 'mark'")
