@@ -223,20 +223,33 @@ def nice_limits(lo: float, hi: float, ticks: int = 5) -> tuple[float, float, flo
     return math.floor(lo / step + 1e-9) * step, math.ceil(hi / step - 1e-9) * step, step
 
 
+def padded_limits(lo: float, hi: float, padding: float = 0.05, ticks: int = 6) -> tuple[float, float]:
+    """Whole steps of 1, 2 or 5 times a power of ten that hold a range, zero and a share of padding; both lie beyond the range."""
+    if not (math.isfinite(lo) and math.isfinite(hi)) or hi < lo:
+        raise ValueError("limits must be finite and in order")
+    lo, hi = min(lo, 0.0), max(hi, 0.0)
+    span = hi - lo or 1.0
+    step = nice_limits(0.0, span, max(ticks, 1))[2]
+    first, last = math.floor((lo - span * padding) / step), math.ceil((hi + span * padding) / step)
+    return (first - (first * step >= lo)) * step, (last + (last * step <= hi)) * step
+
+
 #: Half gain of a Gaussian filter lies where k r is this.
 HALF_GAIN = math.sqrt(2 * math.log(2))
+#: Wavenumber times filter width at the cutoff of each kernel.
+CUTOFFS = {"gaussian": HALF_GAIN, "smooth_sharp": math.pi}
 
 
-def flux_points(means: DataFrame, widths: list[float], reference: list[tuple[str, float, float]], grid: int, length: float, viscosity: float) -> DataFrame:
+def flux_points(means: DataFrame, widths: list[float], reference: list[tuple[str, float, float]], grid: int, length: float, viscosity: float, kernel: str = "gaussian") -> DataFrame:
     """Scale algebra of mean transfers: a row per series, frame and filter width, and the reference rows, ordered within their series.
 
-    means: frame, forward_mean_pi, epsilon.  cutoff is the wavenumber of half gain, modes its number of
-    waves in the box, eta the dissipation length, r_over_eta the width that the cutoff stands for.
+    means: frame, forward_mean_pi, epsilon.  cutoff is the wavenumber of half gain (gaussian) or of pi over
+    the width (smooth_sharp), modes its number of waves in the box, eta the dissipation length, r_over_eta the width that the cutoff stands for.
     """
     spark = means.sparkSession
     ladder = spark.createDataFrame([(float(w),) for w in sorted(set(widths))], "width double")
     eta = F.pow(F.lit(viscosity) ** 3 / F.col("epsilon"), F.lit(0.25))
-    cutoff = F.lit(HALF_GAIN) / (F.col("width") * (length / grid))
+    cutoff = F.lit(CUTOFFS[kernel]) / (F.col("width") * (length / grid))
     ours = means.where("epsilon > 0").join(F.broadcast(ladder)).select(  # a few widths
         F.concat(F.lit("frame_"), F.col("frame").cast("string")).alias("series"), cutoff.alias("cutoff"), (F.lit(HALF_GAIN) / cutoff / eta).alias("r_over_eta"), ratio(F.col("forward_mean_pi"), F.col("epsilon")).alias("pi_over_epsilon"))
     theirs = spark.createDataFrame([(s, HALF_GAIN / r, r, p) for s, r, p in reference], "series string, cutoff double, r_over_eta double, pi_over_epsilon double")

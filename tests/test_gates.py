@@ -119,3 +119,23 @@ def test_a_measure_that_is_no_number_does_not_pass(spark):
     d = spark.createDataFrame([(0, "a", None), (0, "b", float("nan")), (0, "c", 1.0), (0, "d", 9.0)], "frame int, measure string, value double")
     got = {r["measure"]: r["passed"] for r in gates.judge(d, {"a": 2.0, "b": 2.0, "c": 2.0}).collect()}
     assert got == {"a": False, "b": False, "c": True}
+
+
+@pytest.mark.parametrize(("lo", "hi", "want"), [(0.2, 0.9, (-0.2, 1.0)), (-3.0, -1.0, (-3.5, 0.5)), (0.0, 0.0, (-0.2, 0.2)), (-7.0, 13.0, (-10.0, 15.0))])
+def test_padded_limits_hold_zero_and_lie_beyond_the_range(lo, hi, want):
+    assert grids.padded_limits(lo, hi) == pytest.approx(want)
+    a, b = grids.padded_limits(lo, hi, padding=0.0)
+    assert a < min(lo, 0.0) and b > max(hi, 0.0)
+    with pytest.raises(ValueError):
+        grids.padded_limits(hi + 1, lo)
+
+
+def test_cutoffs_of_both_kernels(spark):
+    means = spark.createDataFrame([(1, 0.5, 0.25)], "frame int, forward_mean_pi double, epsilon double")
+    width, grid, length = 4.0, 64, 2 * math.pi
+    for kernel, reach in (("gaussian", math.sqrt(2 * math.log(2))), ("smooth_sharp", math.pi)):
+        r = grids.flux_points(means, [width], [("other", 20.0, 0.5)], grid, length, 1e-3, kernel).where("series = 'frame_1'").first()
+        cutoff = reach / (width * length / grid)
+        eta = (1e-9 / 0.25) ** 0.25
+        assert r["cutoff"] == pytest.approx(cutoff, abs=1e-4) and r["modes"] == pytest.approx(cutoff, abs=1e-4)
+        assert r["r_over_eta"] == pytest.approx(math.sqrt(2 * math.log(2)) / cutoff / eta, abs=1e-3) and r["pi_over_epsilon"] == 2.0
