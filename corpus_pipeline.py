@@ -43,7 +43,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row for each group of texts linked by SimHash fingerprints (3-word shingles, three bits at most).
+    """One row for each group of texts linked by SimHash fingerprints (3-word shingles, three bits at most),
+    or whose sets of 5-word shingles have a Jaccard of 0.8 or more.
 
     The smallest id stays, a null id sorting last; each row stands for itself, so repeated ids link
     nothing.  Null, empty and blank texts have fingerprint zero and are one group.  An empty table gives
