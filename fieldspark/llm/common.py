@@ -38,13 +38,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """df, written as Parquet to the shared checkpoint folder and read again.
 
     Unlike a checkpoint it keeps columns apart, so later scans read only what they need.
+    The folder is appended to paths, for a caller that deletes it.
     """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return df.sparkSession.read.parquet(path)
 
 

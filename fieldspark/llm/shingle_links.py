@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from fieldspark.llm import words
-from fieldspark.llm.common import cut_lineage, stored
+from fieldspark.llm.common import cut_lineage, drop_folder, stored
 from fieldspark.llm.components import connected_components
 
 SIZE, ALIKE = 5, 0.8
@@ -113,13 +113,17 @@ def _alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Pairs (a, b, a_comp, b_comp) of rows (row, text) -> links (a, b) of components by pairs that are alike."""
-    pairs = stored(pairs.distinct(), "pairs")
-    needed = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "needed")
-    texts = stored(rows.join(needed, "row", "left_semi").mapInArrow(_packed, "row bigint, packed binary"), "texts")
+    paths: list[str] = []
+    pairs = stored(pairs.distinct(), "pairs", paths)
+    needed = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "needed", paths)
+    texts = stored(rows.join(needed, "row", "left_semi").mapInArrow(_packed, "row bigint, packed binary"), "texts", paths)
     both = pairs.join(texts.select(F.col("row").alias("a"), F.col("packed").alias("a_text")), "a")
     both = both.join(texts.select(F.col("row").alias("b"), F.col("packed").alias("b_text")), "b")
     both = both.select("a_text", "b_text", F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
-    return cut_lineage(both.mapInArrow(_alike, "a bigint, b bigint").distinct())
+    links = cut_lineage(both.mapInArrow(_alike, "a bigint, b bigint").distinct())
+    for path in paths:
+        drop_folder(rows.sparkSession, path)
+    return links
 
 
 def _end(name: str) -> list:
@@ -146,19 +150,22 @@ def joined_components(rows: DataFrame, known: DataFrame) -> DataFrame:
     """
     rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
     sketches = rows.mapInArrow(_sketched, "row bigint, n bigint, low bigint, high bigint, keys array<bigint>")
-    sketches = stored(sketches.join(known, "row"), "sketches")
+    paths: list[str] = []
+    sketches = stored(sketches.join(known, "row"), "sketches", paths)
     flat = lambda df: df.select(F.explode("keys").alias("key"), "row", "comp", "n", "low", "high")
     hubs = flat(sketches).groupBy("key").agg(F.min(F.struct("comp", "row", "n", "low", "high")).alias("hub"), F.max("comp").alias("last"))
-    hubs = stored(hubs.where("hub.comp < last").select("key", "hub.*"), "hubs")
+    hubs = stored(hubs.where("hub.comp < last").select("key", "hub.*"), "hubs", paths)
     links = _verified(_met(hubs.select(*_end("a")), flat(sketches).select(*_end("b"))), rows)
     joined = connected_components(links)
     renamed = lambda df, by: df.join(by.select(F.col("node").alias("comp"), "component"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
     # What the stars left: keys whose rows are still in several components.
     rest = flat(renamed(sketches, joined)).join(hubs.select("key"), "key", "left_semi")
-    rest = stored(rest, "rest")
+    rest = stored(rest, "rest", paths)
     sizes = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"))
-    main = stored(main.where("comps > 1").select("key", "main"), "main")
+    main = stored(main.where("comps > 1").select("key", "main"), "main", paths)
     mixed = rest.join(main, "key")
     more = _verified(_met(mixed.where("comp <> main").select(*_end("a")), mixed.select(*_end("b"))), rows)
+    for path in paths:
+        drop_folder(rows.sparkSession, path)
     return renamed(known, connected_components(links.unionByName(more)))
