@@ -50,13 +50,18 @@ class Vocabulary(dict):
 
 @cache
 def pieces(path: str | None) -> Vocabulary:
-    """Ordinary pieces of the vocabulary; then come an unknown character and "no piece"."""
+    """Ordinary pieces of the vocabulary; then come an unknown character and "no piece".
+
+    A piece of more than LONGEST characters is an error: no table here has room for it.
+    """
     import public_tokenizers
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(MODEL))
     own = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return Vocabulary({p: i for i, p in enumerate(p for p in own if len(p) <= LONGEST)})
+    if too_long := [p for p in own if len(p) > LONGEST]:
+        raise ValueError(f"pieces of more than {LONGEST} characters: {too_long[:5]}")
+    return Vocabulary({p: i for i, p in enumerate(own)})
 
 
 def lattice(words: list[str], vocab: dict[str, int]) -> np.ndarray:

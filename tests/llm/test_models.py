@@ -181,3 +181,10 @@ def test_added_spans_equal_a_plain_scan_and_find_planted_strings(spark):
 def test_awkward_texts_have_spans(spark, text):
     docs = spark.createDataFrame([(1, text), (1, text), (None, text)], "doc_id bigint, text string")
     assert secrets.secret_report(docs).count() == 3 and secrets.redact(docs).count() == 3
+
+
+def test_pieces_too_long_for_the_tables_are_an_error(monkeypatch):
+    assert max(map(len, language_id.pieces(None))) <= language_id.LONGEST
+    monkeypatch.setattr(language_id, "LONGEST", 10)
+    with pytest.raises(ValueError, match="more than 10 characters"):
+        language_id.pieces.__wrapped__(None)
