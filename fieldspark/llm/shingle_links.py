@@ -1,15 +1,17 @@
-"""Links between texts of alike shingle sets: candidates by banded minima of hashes, verified on the shingles themselves.
+"""Links between texts of alike shingle sets: rows found by banded minima of hashes, pairs by rare shingles, verified on the shingles themselves.
 
 SimHash keys reach three bits, which texts of Jaccard 0.8 seldom keep.  A second search
 finds those: each text has 80 minima over its shingles' hashes in 16 bands of five, and
-a pair of Jaccard 0.8 shares no band with probability (1 - 0.8^5)^16 = 0.002.  A pair
-that meets is compared by its sets' sizes (no loss), by a bit of each minimum (loss
-under 0.0001 at 0.8), and at last exactly, on the two sets.
+a pair of Jaccard 0.8 shares no band with probability (1 - 0.8^5)^16 = 0.002.  Rows that
+share a band with a row of another component go on.  Of n shingles, in one order for all
+rows that has the rare ones first, a pair alike shares one among the first n/5 + 1 of
+both (prefix filtering, exact), so rows meet there.  A large group of copies with edits
+of their own starts with these edits and meets only where copies can be alike.  Pairs
+that meet are compared on both whole sets.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,13 +23,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from fieldspark.llm import words
-from fieldspark.llm.common import cut_lineage, drop_folder, stored
+from fieldspark.llm.common import cut_lineage, drop_folder, runs_of_rows, stored
 from fieldspark.llm.components import connected_components
 
 SIZE, ALIKE = 5, 0.8
 BANDS, ROWS = 16, 5
-#: Bits of the minima that may differ: four and a half standard deviations over those of a pair at ALIKE.
-BITS_APART = math.floor(BANDS * ROWS * (1 - ALIKE) / 2 + 4.5 * math.sqrt(BANDS * ROWS * (1 - ALIKE) / 2 * (1 + ALIKE) / 2))
+#: Cells of the table of shingle counts, by a part of the hash: some 4 MB in every task, whatever the input.
+CELLS = 1 << 20
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS + SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _HASHES, _PLACES = _FACTORS[:BANDS * ROWS], _FACTORS[BANDS * ROWS:]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -53,11 +55,11 @@ def jaccard(a: set[bytes], b: set[bytes]) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def minima(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, number of distinct shingles, minima: a row of BANDS * ROWS) of the texts with a word."""
+def hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of each shingle, repeats included, rows in order."""
     row, code, known = words.split(texts, _LOWER)
     if not len(row):
-        return row, row, np.zeros((0, BANDS * ROWS), np.uint64)
+        return row, np.zeros(0, np.uint64)
     of_word = np.array([xxh64_intdigest(w) for w in known.to_pylist()], np.uint64)[code]
     first = np.concatenate([[0], np.nonzero(np.diff(row))[0] + 1])
     count = np.diff(np.concatenate([first, [len(row)]]))
@@ -69,36 +71,92 @@ def minima(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.minimum(starts + k, len(row) - 1)
         inside = (starts + k < len(row)) & (row[at] == row[starts])
         hashes += np.where(inside, of_word[at] * _PLACES[k], np.uint64(0))
-    hashes, owner = _mixed(hashes), row[starts]
+    return row[starts], _mixed(hashes)
+
+
+def minima(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, minima: a row of BANDS * ROWS) of the texts with a word."""
+    owner, hashes = hashed(texts)
+    if not len(owner):
+        return owner, np.zeros((0, BANDS * ROWS), np.uint64)
     begin = np.concatenate([[0], np.nonzero(np.diff(owner))[0] + 1])
     out = np.empty((len(begin), BANDS * ROWS), np.uint64)
     for j, factor in enumerate(_HASHES):
         out[:, j] = np.minimum.reduceat(hashes * factor, begin)
-    ends = np.concatenate([begin[1:], [len(hashes)]])
-    sizes = np.fromiter((len(np.unique(hashes[a:b])) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)), np.int64, len(begin))
-    return owner[begin], sizes, out
+    return owner[begin], out
 
 
 def _sketched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) -> (row, n, low, high, keys)."""
+    """(row, text) -> (row, keys)."""
     for whole in it:
         for batch in words.runs(whole, "text"):
-            row, sizes, least = minima(batch.column(1))
+            row, least = minima(batch.column(1))
             keys = np.zeros((len(row), BANDS), np.uint64)
             for k in range(ROWS):
                 keys = _mixed(keys + least[:, k::ROWS] + _PLACES[k])
             keys = keys + np.arange(BANDS, dtype=np.uint64)
-            bits = (least * _MIX) >> np.uint64(63)
-            weights = np.uint64(1) << np.arange(BANDS * ROWS // 2, dtype=np.uint64)
-            low, high = ((half * weights).sum(axis=1, dtype=np.uint64).view(np.int64) for half in np.split(bits, 2, axis=1))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(sizes), pa.array(low), pa.array(high), lists], ["row", "n", "low", "high", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), lists], ["row", "keys"])
 
 
 def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, comp, text) -> (row, comp, bytes, packed)."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in it:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(t.as_py().encode()) for t in batch.column(1)], pa.binary())], ["row", "packed"])
+        raw = [t.as_py().encode() for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(t) for t in raw], pa.int64()), pa.array([squeeze(t) for t in raw], pa.binary())], ["row", "comp", "bytes", "packed"])
+
+
+def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows with the owner (place in the run) and the hash of each distinct shingle."""
+    open_up = zstandard.ZstdDecompressor().decompress
+    for batch in it:
+        for at, count in runs_of_rows(batch.column("bytes").to_pylist(), words.RUN_CHARS):
+            run = batch.slice(at, count)
+            owner, hashes = hashed(pa.array([open_up(t.as_py()).decode() for t in run.column("packed")], pa.string()))
+            order = np.lexsort((hashes, owner))
+            owner, hashes = owner[order], hashes[order]
+            new = np.append(True, (np.diff(owner) != 0) | (np.diff(hashes) != 0))[:len(owner)]
+            yield run, owner[new], hashes[new]
+
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(CELLS)).astype(np.int64)
+
+
+def _counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed texts -> (cell, n): how many rows have a shingle there."""
+    sums = np.zeros(CELLS, np.int64)
+    for _, _, hashes in _sets(it):
+        sums += np.bincount(_cell(hashes), minlength=CELLS)
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], ["cell", "n"])
+
+
+def _rare_first(texts: DataFrame) -> DataFrame:
+    """Packed texts -> (token, row, comp, n, left): a row's shingles that can be the first it shares with one alike.
+
+    n: its distinct shingles; left: how many of them, rare ones first, come from this one on.
+    Counts only make the order, so cells with several shingles cost time and no link.
+    """
+    found = texts.mapInArrow(_counted, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(CELLS, np.uint32)
+    table[found.column("cell").to_numpy()] = np.minimum(found.column("n").to_numpy(), (1 << 32) - 1)
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run, owner, hashes in _sets(it):
+            times = shared.value[_cell(hashes)]
+            order = np.lexsort((hashes, times, owner))
+            owner, hashes, times = owner[order], hashes[order], times[order]
+            n = np.bincount(owner, minlength=run.num_rows)
+            left = np.repeat(np.cumsum(n), n) - np.arange(len(owner))
+            # The least partner has 4/5 of the shingles, which must all be shared; a cell of one row has no other.
+            keep = (5 * left >= 4 * n[owner]) & (times > 1)
+            of = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), run.column("row").take(of), run.column("comp").take(of), pa.array(n[owner[keep]].astype(np.int32)), pa.array(left[keep].astype(np.int32))], ["token", "row", "comp", "n", "left"])
+
+    return texts.mapInArrow(batches, "token bigint, row bigint, comp bigint, n int, left int")
 
 
 def _alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,30 +169,25 @@ def _alike(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(good)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b, a_comp, b_comp) of rows (row, text) -> links (a, b) of components by pairs that are alike."""
-    paths: list[str] = []
-    pairs = stored(pairs.distinct(), "pairs", paths)
-    needed = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct(), "needed", paths)
-    texts = stored(rows.join(needed, "row", "left_semi").mapInArrow(_packed, "row bigint, packed binary"), "texts", paths)
-    both = pairs.join(texts.select(F.col("row").alias("a"), F.col("packed").alias("a_text")), "a")
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, a_comp, b_comp) of packed texts -> links (a, b) of components by pairs that are alike."""
+    both = pairs.distinct().join(texts.select(F.col("row").alias("a"), F.col("packed").alias("a_text")), "a")
     both = both.join(texts.select(F.col("row").alias("b"), F.col("packed").alias("b_text")), "b")
     both = both.select("a_text", "b_text", F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
-    links = cut_lineage(both.mapInArrow(_alike, "a bigint, b bigint").distinct())
-    for path in paths:
-        drop_folder(rows.sparkSession, path)
-    return links
+    return cut_lineage(both.mapInArrow(_alike, "a bigint, b bigint").distinct())
 
 
 def _end(name: str) -> list:
-    return [F.col("key"), F.col("row").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("comp", "n", "low", "high"))]
+    return [F.col("token"), F.col("row").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("comp", "n", "left"))]
 
 
 def _met(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of a and b of one key and different components whose sizes and bits allow a Jaccard of ALIKE."""
-    size = F.least("a_n", "b_n") >= F.lit(ALIKE) * F.greatest("a_n", "b_n") - F.lit(1e-9)
-    apart = F.bit_count(F.col("a_low").bitwiseXOR(F.col("b_low"))) + F.bit_count(F.col("a_high").bitwiseXOR(F.col("b_high")))
-    met = a.join(b, "key").where((F.col("a_comp") != F.col("b_comp")) & size & (apart <= BITS_APART))
+    """Pairs of a and b of one token and different components that can be alike if no rarer token is shared.
+
+    Jaccard 4/5 is 9 shared >= 4 (a_n + b_n), and no more are shared than are left from this token on.
+    """
+    enough = 9 * F.least("a_left", "b_left").cast("bigint") >= 4 * (F.col("a_n").cast("bigint") + F.col("b_n"))
+    met = a.join(b, "token").where((F.col("a_comp") != F.col("b_comp")) & enough)
     smaller = F.col("a") < F.col("b")
     pick = lambda x, y, name: F.when(smaller, F.col(x)).otherwise(F.col(y)).alias(name)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), pick("a_comp", "b_comp", "a_comp"), pick("b_comp", "a_comp", "b_comp"))
@@ -144,28 +197,32 @@ def joined_components(rows: DataFrame, known: DataFrame) -> DataFrame:
     """known (row, comp) with the components joined whose rows (row, text) are alike: Jaccard of 5-word shingles 0.8 or more.
 
     Rows are distinct longs, and so are components.  A text without a word is linked to
-    nothing here.  Each key's rows are first compared with one of them (a star); then only
-    rows that are still in different components, and not both in the key's main one, meet.
+    nothing here.  Each token's rows are first compared with one of them (a star), the one
+    with the fewest rarer shingles, which is the least edited; then only rows that are
+    still in different components, and not both in the token's main one, meet.
     An empty table gives no rows.
     """
     rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
-    sketches = rows.mapInArrow(_sketched, "row bigint, n bigint, low bigint, high bigint, keys array<bigint>")
+    sketches = rows.mapInArrow(_sketched, "row bigint, keys array<bigint>")
     paths: list[str] = []
     sketches = stored(sketches.join(known, "row"), "sketches", paths)
-    flat = lambda df: df.select(F.explode("keys").alias("key"), "row", "comp", "n", "low", "high")
-    hubs = flat(sketches).groupBy("key").agg(F.min(F.struct("comp", "row", "n", "low", "high")).alias("hub"), F.max("comp").alias("last"))
-    hubs = stored(hubs.where("hub.comp < last").select("key", "hub.*"), "hubs", paths)
-    links = _verified(_met(hubs.select(*_end("a")), flat(sketches).select(*_end("b"))), rows)
+    flat = sketches.select(F.explode("keys").alias("key"), "row", "comp")
+    mixed = flat.groupBy("key").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).where("first < last")
+    wanted = flat.join(mixed.select("key"), "key", "left_semi").select("row", "comp").distinct()
+    texts = stored(rows.join(wanted, "row").select("row", "comp", "text").mapInArrow(_packed, "row bigint, comp bigint, bytes bigint, packed binary"), "texts", paths)
+    tokens = stored(_rare_first(texts), "tokens", paths)
+    hubs = tokens.groupBy("token").agg(F.min(F.struct((F.col("n") - F.col("left")).alias("rarer"), "row", "comp", "n", "left")).alias("hub"), F.min("comp").alias("first"), F.max("comp").alias("last"))
+    hubs = stored(hubs.where("first < last").select("token", "hub.*"), "hubs", paths)
+    links = _verified(_met(hubs.select(*_end("a")), tokens.select(*_end("b"))), texts)
     joined = connected_components(links)
     renamed = lambda df, by: df.join(by.select(F.col("node").alias("comp"), "component"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
-    # What the stars left: keys whose rows are still in several components.
-    rest = flat(renamed(sketches, joined)).join(hubs.select("key"), "key", "left_semi")
-    rest = stored(rest, "rest", paths)
-    sizes = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"))
-    main = stored(main.where("comps > 1").select("key", "main"), "main", paths)
-    mixed = rest.join(main, "key")
-    more = _verified(_met(mixed.where("comp <> main").select(*_end("a")), mixed.select(*_end("b"))), rows)
+    # What the stars left: tokens whose rows are still in several components.
+    rest = stored(renamed(tokens.join(hubs.select("token"), "token", "left_semi"), joined), "rest", paths)
+    sizes = rest.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("rows"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("rows", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps"))
+    main = stored(main.where("comps > 1").select("token", "main"), "main", paths)
+    left = rest.join(main, "token")
+    more = _verified(_met(left.where("comp <> main").select(*_end("a")), left.select(*_end("b"))), texts)
     for path in paths:
         drop_folder(rows.sparkSession, path)
     return renamed(known, connected_components(links.unionByName(more)))
