@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from fieldspark.llm.common import cut_lineage, documents, first_row, shuffle_partitions, stored, with_row_keys
+from fieldspark.llm.common import cut_lineage, documents, first_row, short_shuffles, shuffle_partitions, stored, with_row_keys
 from fieldspark.llm.components import connected_components
 from fieldspark.llm.golay import codeword_indices
 from fieldspark.llm.shingle_links import joined_components
@@ -173,10 +173,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     joins no components, and rows with a null id are linked too.  The row with the smallest
     id stays, a null id sorting last.
     """
-    keyed = with_row_keys(docs, "__row")
-    prints = near_duplicates(keyed, "__row", text_col).select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp"))
-    rows = keyed.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))
-    linked = joined_components(rows, stored(prints, "prints")).select(F.col("row").alias("__row"), "comp")
+    with short_shuffles(docs.sparkSession):
+        keyed = with_row_keys(docs, "__row")
+        prints = near_duplicates(keyed, "__row", text_col).select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp"))
+        rows = keyed.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))
+        linked = joined_components(rows, stored(prints, "prints")).select(F.col("row").alias("__row"), "comp")
     kept = linked.join(keyed.select("__row", F.col(id_col).alias("id")), "__row").groupBy("comp").agg(F.min(first_row("id", "__row")).alias("first"))
     return keyed.join(kept.select(F.col("first.key").alias("__row")), "__row", "left_semi").select(*docs.columns)
 

@@ -1,7 +1,9 @@
 """The corpus pipeline on a small, awkward table: every stage on what the one before it kept."""
 
+import os
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -112,6 +114,21 @@ def test_near_stage(spark, documents):
     assert Counter(r[0] for r in table(got).elements()) == Counter(None if none else i for none, i in map(min, best.values()))
 
 
+def test_near_stage_keeps_no_shuffle_files(spark, documents):
+    """Its many small queries left thousands of shuffle files until the driver collected its garbage."""
+    own = spark.conf.get("spark.local.dir")
+    left = lambda: {f for _, _, names in os.walk(own) for f in names if f.startswith("shuffle_")}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, asked = left(), spark.conf.get(setting)
+    kept = cp.drop_near_copies(spark, documents, "")
+    end = time.time() + 20
+    while left() - before and time.time() < end:  # executors delete them on their own time
+        time.sleep(0.2)
+    assert not left() - before
+    assert spark.conf.get(setting) == asked
+    assert 0 < kept.count() < documents.count()
+
+
 def test_secret_stage(spark, documents):
     docs = documents.select("doc_id", "text")
     chains = secrets.fit(docs, secrets.found_spans(docs, "doc_id", "text"), "doc_id", "text", 20_000)
