@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldspark.llm import words
-from fieldspark.llm.common import cut_lineage, documents, stored
+from fieldspark.llm.common import cut_lineage, documents, small_batches, stored
 from fieldspark.operators.stats import beside
 
 #: Fixed value: ASCII bytes that are no letters end a term.
 _TABLE = words.lowered(bytes(b for b in range(128) if not (65 <= b <= 90 or 97 <= b <= 122)))
 #: Bits of the map of prefixes that go on: 2 MB, whatever the data.
 MAP_BITS = 1 << 24
+#: Bytes of a batch of texts on its way to Python, below a run's.
+BATCH_BYTES = 7 << 20
 #: Fixed value: what shares are counted in.
 SCALE = 1_000_000_000
 
@@ -46,16 +48,16 @@ def _cut(terms: pa.Array, length: int) -> tuple[np.ndarray, pa.Array]:
 
 
 def _living(run: pa.RecordBatch, before: int, bits: np.ndarray | None):
-    """(row, term) of each term in a run whose prefix of `before` bytes goes on in its language; the terms; languages and their number by row."""
-    rows, ids, terms = words.split(run.column("text"), _TABLE)
+    """(row, term, times) of each row's distinct terms in a run whose prefix of `before` bytes goes on in its language; the terms; languages and their number by row."""
+    rows, ids, times, terms = words.counted(run.column("text"), _TABLE)
     coded = run.column("lang").dictionary_encode()
     langs, lang_of = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     if bits is not None and len(rows):
         number, prefixes = _cut(terms, before)
         pairs, _, where = words.distinct(lang_of[rows] * len(prefixes) + number[ids])
         keep = _alive(bits, langs, prefixes, pairs)[where]
-        rows, ids = rows[keep], ids[keep]
-    return rows, ids, terms, langs, lang_of
+        rows, ids, times = rows[keep], ids[keep], times[keep]
+    return rows, ids, times, terms, langs, lang_of
 
 
 def _prefix_documents(docs: DataFrame, length: int, before: int, bits) -> DataFrame:
@@ -63,8 +65,8 @@ def _prefix_documents(docs: DataFrame, length: int, before: int, bits) -> DataFr
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for run in words.runs(batch, "text"):
-                rows, ids, terms, langs, lang_of = _living(run, before, bits.value if bits else None)
+            for run in words.runs(batch, "text", 2 * words.RUN_CHARS):
+                rows, ids, _, terms, langs, lang_of = _living(run, before, bits.value if bits else None)
                 if not len(rows):
                     continue
                 number, prefixes = _cut(terms, length)
@@ -100,13 +102,11 @@ def frequent_terms(docs: DataFrame, least: int = 10, levels: tuple[int, ...] = (
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for run in words.runs(batch, "text", 2 * words.RUN_CHARS):
-                rows, ids, terms, langs, lang_of = _living(run, before, bits.value if bits else None)
-                if not len(rows):
+                row, term, times, terms, langs, lang_of = _living(run, before, bits.value if bits else None)
+                if not len(row):
                     continue
                 coded = run.column("source").dictionary_encode()
                 sources, source_of = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                held, times, _ = words.distinct(rows * len(terms) + ids)
-                row, term = held // len(terms), held % len(terms)
                 keys, docs_of, where = words.distinct((lang_of[row] * len(sources) + source_of[row]) * len(terms) + term)
                 group, _, place = words.distinct(keys // len(terms))
                 # Language and source in one string, the length of the first ahead.
@@ -178,7 +178,8 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10, levels: tuple[in
     """
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     docs = docs.select(empty("lang"), empty("source"), empty("text"))
-    terms = stored(frequent_terms(docs, least, levels, map_bits), "terms")
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        terms = stored(frequent_terms(docs, least, levels, map_bits), "terms")
     flat = terms.select("lang", "term", "lang_count", F.explode("by").alias("g")).select("lang", "term", "lang_count", "g.source", "g.n")
     by_group = flat.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     by_lang = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"), F.sum("lang_count").alias("lang_total"))
