@@ -30,6 +30,8 @@ SIZE, ALIKE = 5, 0.8
 BANDS, ROWS = 16, 5
 #: Cells of the table of shingle counts, by a part of the hash: some 4 MB in every task, whatever the input.
 CELLS = 1 << 20
+#: Bytes of a run of texts: short, since nothing is put together over a run.
+RUN_CHARS = 1 << 20
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, BANDS * ROWS + SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _HASHES, _PLACES = _FACTORS[:BANDS * ROWS], _FACTORS[BANDS * ROWS:]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -89,7 +91,7 @@ def minima(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _sketched(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, text) -> (row, keys)."""
     for whole in it:
-        for batch in words.runs(whole, "text"):
+        for batch in words.runs(whole, "text", RUN_CHARS):
             row, least = minima(batch.column(1))
             keys = np.zeros((len(row), BANDS), np.uint64)
             for k in range(ROWS):
@@ -111,7 +113,7 @@ def _sets(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.nda
     """Runs of rows with the owner (place in the run) and the hash of each distinct shingle."""
     open_up = zstandard.ZstdDecompressor().decompress
     for batch in it:
-        for at, count in runs_of_rows(batch.column("bytes").to_pylist(), words.RUN_CHARS):
+        for at, count in runs_of_rows(batch.column("bytes").to_pylist(), RUN_CHARS):
             run = batch.slice(at, count)
             owner, hashes = hashed(pa.array([open_up(t.as_py()).decode() for t in run.column("packed")], pa.string()))
             order = np.lexsort((hashes, owner))

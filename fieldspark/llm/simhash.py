@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from fieldspark.llm.common import cut_lineage, documents, first_row, short_shuffles, shuffle_partitions, stored, with_row_keys
+from fieldspark.llm.common import cut_lineage, documents, first_row, short_shuffles, shuffle_partitions, small_batches, stored, with_row_keys
 from fieldspark.llm.components import connected_components
 from fieldspark.llm.golay import codeword_indices
 from fieldspark.llm.shingle_links import joined_components
@@ -34,6 +34,8 @@ BITS_APART = 3
 #: (first bit, width) of the segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 _BLOCK = 1 << 15
+#: Bytes of a batch of texts on its way to Python.
+BATCH_BYTES = 1 << 22
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -173,7 +175,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     joins no components, and rows with a null id are linked too.  The row with the smallest
     id stays, a null id sorting last.
     """
-    with short_shuffles(docs.sparkSession):
+    with short_shuffles(docs.sparkSession), small_batches(docs.sparkSession, BATCH_BYTES):
         keyed = with_row_keys(docs, "__row")
         prints = near_duplicates(keyed, "__row", text_col).select(F.col("doc_id").alias("row"), F.col("component_id").alias("comp"))
         rows = keyed.select(F.col("__row").alias("row"), F.col(text_col).alias("text"))

@@ -2,9 +2,12 @@
 
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
-from fieldspark.llm import shingle_links
+import pyarrow as pa
+
+from fieldspark.llm import shingle_links, simhash
 
 
 def sets_of(text):
@@ -64,3 +67,24 @@ def test_sizes_and_shared_parts(spark):
         chain = [*chain[6:], *make(6)]
         texts.append(" ".join(chain))
     assert found(spark, texts) == components(texts)
+
+
+def test_minima_are_taken_in_short_runs():
+    """What Python holds beside a batch of texts while it takes their minima."""
+    draw = random.Random(6)
+    texts = [" ".join(f"w{draw.randint(0, 3000)}" for _ in range(500)) for _ in range(1400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["row", "text"])
+    tracemalloc.start()
+    got = sum(part.num_rows for part in shingle_links._sketched(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == len(texts) and peak < 8 * sum(map(len, texts)), peak / sum(map(len, texts))
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    name, seen, joined = "spark.sql.execution.arrow.maxBytesPerBatch", [], simhash.joined_components
+    before = spark.conf.get(name)
+    monkeypatch.setattr(simhash, "joined_components", lambda *rest: seen.append(spark.conf.get(name)) or joined(*rest))
+    kept = simhash.keep_one(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {1, 3}
+    assert seen == [f"{simhash.BATCH_BYTES}b"] and spark.conf.get(name) == before
